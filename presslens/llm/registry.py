@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p3_lines",)
+MODULES = ("p3_lines", "p5_near")
 
 
 def queries():
