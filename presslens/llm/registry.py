@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_splits", "p3_lines", "p4_terms", "p5_near", "p6_forms", "p7_phrases")
+MODULES = ("p1_splits", "p3_lines", "p4_terms", "p5_near", "p6_forms", "p7_phrases", "p9_leaks")
 
 
 def queries():
