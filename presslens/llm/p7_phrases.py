@@ -33,7 +33,7 @@ def numbered_articles(rows: DataFrame) -> DataFrame:
 
 
 def tidy(c):
-    return F.lower(F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85   -     　]+", " ")))
+    return F.lower(F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
 
 
 def containers(arts: DataFrame) -> DataFrame:
