@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("p1_splits", "p3_lines", "p4_terms", "p5_near", "p6_forms", "p7_phrases", "p8_encode", "p9_leaks", "p10_pieces")
+MODULES = ("p1_splits", "p2_names", "p3_lines", "p4_terms", "p5_near", "p6_forms", "p7_phrases", "p8_encode", "p9_leaks", "p10_pieces")
 
 
 def queries():
