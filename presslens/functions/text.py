@@ -58,14 +58,14 @@ def strip_files(c: Column) -> Column:
     return F.regexp_replace(c, rf"(?iuU)\b[^\s\x1c-\x1f]+\.(?:{'|'.join(FILE_EXTENSIONS)})\b", "")
 
 
-@F.pandas_udf("string")
 def _unescape(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
 def unescape(c: Column) -> Column:
     """Resolve HTML entities; only texts with an ampersand leave the JVM's own path."""
-    return F.when(F.contains(c, F.lit("&")), _unescape(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
+    resolve = F.pandas_udf(_unescape, "string")
+    return F.when(F.contains(c, F.lit("&")), resolve(F.when(F.contains(c, F.lit("&")), c))).otherwise(c)
 
 
 def strip_quotations(c: Column) -> Column:

@@ -23,20 +23,28 @@ def tokens(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(TOKEN), F.lit(0)), lambda x: F.replace(x, F.lit("-"), F.lit("")).rlike(r"^\p{L}+$"))
 
 
-def ngrams(words: Column, n: int, stop: Iterable[str] = ()) -> Column:
-    """Distinct n-grams over an array of words; those of stop words only are left out."""
+def bound(c: Column, use) -> Column:
+    """``use(c)`` with ``c`` evaluated once a row, however often ``use`` refers to it."""
+    return F.element_at(F.transform(F.array(c), use), 1)
+
+
+def _ngrams(words: Column, n: int, stop: Iterable[str]) -> Column:
     last = F.size(words) - n
     grams = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(words, i + 1, n))
     stop = list(stop)
     if stop:
-        listed = F.array(*map(F.lit, stop))
-        grams = F.filter(grams, lambda g: F.exists(g, lambda w: ~F.array_contains(listed, F.lower(w))))
+        grams = F.filter(grams, lambda g: F.exists(g, lambda w: ~F.lower(w).isin(*stop)))
     return F.array_distinct(F.transform(grams, lambda g: F.array_join(g, " ")))
 
 
+def ngrams(words: Column, n: int, stop: Iterable[str] = ()) -> Column:
+    """Distinct n-grams over an array of words; those of stop words only are left out."""
+    return bound(words, lambda w: _ngrams(w, n, stop))
+
+
 def phrase_set(words: Column, sizes: Iterable[int] = (1, 2, 3), stop: Iterable[str] = (), barrier: str | None = "PERIOD") -> Column:
     """The set of n-grams of the given sizes; those that hold the sentence barrier are left out."""
-    out = F.flatten(F.array(*(ngrams(words, n, stop) for n in sizes)))
+    out = bound(words, lambda w: F.flatten(F.array(*(_ngrams(w, n, stop) for n in sizes))))
     return out if barrier is None else F.filter(out, lambda g: ~F.contains(g, F.lit(barrier)))
 
 
