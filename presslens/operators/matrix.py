@@ -97,5 +97,5 @@ def pivot_matrix(matrix: DataFrame, row: str, domains: list[str] | None = None)
 
 def unpivot_matrix(wide: DataFrame, row: str) -> DataFrame:
     """Long form of a wide matrix, without zero cells."""
-    cols = [c for c in wide.columns if c != row]
+    cols = [F.col(f"`{c}`") for c in wide.columns if c != row]
     return wide.unpivot([row], cols, "domain", "n").where("n > 0")
