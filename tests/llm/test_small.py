@@ -1,0 +1,284 @@
+"""Each operator against brute force or hand-made cases on small fixtures: nulls, empty and long texts, ties, repeated rows, empty tables, extra columns."""
+
+import itertools
+import random
+import unicodedata
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import regex
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
+
+from presslens.llm import bpe, p1_splits, p2_names, p3_lines, p4_terms, p5_near, p6_forms, p7_phrases, p8_encode, p9_leaks, p10_pieces
+from presslens.llm import textvec as tv
+
+
+def rows(df, *cols):
+    return sorted(tuple(r) for r in df.select(*cols).collect())
+
+
+ALPHABET = "ab șțŞ12 .\n-– ​̆ﬁＡ𝐚аοЖ"
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.text(alphabet=ALPHABET, max_size=40), max_size=12))
+def test_vectorized_words_equal_plain_ones(texts):
+    codes, offsets = tv.codes_of(pa.array(texts, pa.string()))
+    folded, fo = tv.fold_codes(codes, offsets)
+    h, r, s, n = tv.words_of(folded, fo)
+    got = [(int(i), "".join(map(chr, folded[a : a + k]))) for i, a, k in zip(r, s, n)]
+    assert got == [(i, w) for i, t in enumerate(texts) for w in regex.findall(r"[\p{L}\p{N}]+", tv.fold_text(t))]
+    assert len({w for _, w in got}) == len(set(h.tolist()))
+
+
+def articles(spark, data, extra=True):
+    df = spark.createDataFrame(data, "url string, maintext string, source_domain string")
+    return df.withColumn("source", F.lit(1)).withColumn("lines", F.lit("x")).withColumn("id", F.lit(0)).withColumn("group", F.lit(None).cast("int")) if extra else df
+
+
+def test_p3_rule(spark):
+    data = [(f"u{i}", f"Publicat la {i}:00\ntext {chr(97 + i) * 3}\n\nLăsă un comentariu", "www.S.ro " if i % 2 else "s.ro") for i in range(6)]
+    data += [("u0", "Publicat la 0:00\ntext aaa\n\nLăsă un comentariu", None), ("n", None, "s.ro"), ("e", "", "s.ro"), (None, "Publicat la", "s.ro"), ("o", "Publicat la 7", None)]
+    got = rows(p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data))), "url", "line_no")
+    assert got == sorted((f"u{i}", k) for i in range(6) for k in (0, 3))
+    cleaned = dict(rows(p3_lines.clean(articles(spark, data), p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data)))), "url", "maintext"))
+    assert cleaned["u2"] == "text ccc\n" and cleaned["o"] == "Publicat la 7" and cleaned["e"] == ""
+    assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data).limit(0))).count() == 0
+
+
+def test_p3_share(spark):
+    data = [(f"u{i}", ("Nota redacției" if i < 5 else f"rând {chr(97 + i % 26)}{chr(97 + i // 26)}"), "s") for i in range(101)]
+    assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data))).count() == 0  # 5 of 101 is under a twentieth
+    assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data[:100]))).count() == 5
+
+
+def brute_groups(texts, share=0.45):
+    sets = {}
+    for u, t in texts.items():
+        w = regex.findall(r"[\p{L}\p{N}]+", tv.fold_text(t))
+        if len(w) >= 3:
+            sets[u] = set(zip(w, w[1:], w[2:]))
+    group = {u: u for u in sets}
+
+    def find(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if len(sets[a] & sets[b]) >= share * min(len(sets[a]), len(sets[b])):
+            group[find(b)] = find(a)
+    out = {}
+    for u in sets:
+        out.setdefault(find(u), set()).add(u)
+    return sorted(sorted(v) for v in out.values() if len(v) > 1)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_p5_against_brute_force(spark, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(p5_near, "BROADCAST_KEYS", -1)
+    rng = random.Random(5)
+    vocabulary = [f"cuvânt{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(400)]
+    base = [[rng.choice(vocabulary) for _ in range(120)] for _ in range(12)]
+    texts = {}
+    for i in range(60):
+        w = list(base[0 if i < 20 else i % 12])  # a third are copies of one
+        for _ in range(rng.randrange(8)):
+            w[rng.randrange(len(w))] = rng.choice(vocabulary)
+        texts[f"u{i:02}"] = " ".join(w).upper() if i % 3 else ", ".join(w)
+    texts["long"] = " ".join(rng.choice(vocabulary) for _ in range(400)) + " " + " ".join(base[11][:90])
+    texts["two"], texts["two2"], texts["empty"] = "doar două", "doar două", ""
+    data = [(u, t, f"s{i % 3}") for i, (u, t) in enumerate(texts.items())] + [("null", None, "s"), ("u01", texts["u01"], None)]
+    got = {}
+    for u, g in rows(p5_near.near_groups(articles(spark, data)), "url", "group"):
+        got.setdefault(g, []).append(u)
+    assert sorted(sorted(v) for v in got.values()) == brute_groups(texts)
+    assert all(g == min(v) for g, v in got.items())
+
+
+def test_p5_empty(spark):
+    assert p5_near.near_groups(articles(spark, [("u", None, "s")])).count() == 0
+
+
+def test_minmax_is_unbiased():
+    rng = np.random.default_rng(0)
+    a = rng.integers(0, 2**63, 300, dtype=np.uint64)
+    b = np.concatenate([a[:200], rng.integers(0, 2**63, 100, dtype=np.uint64)])
+    x, y = (p5_near.minmax(tv.mix(s), np.array([0])) for s in (a, b))
+    assert abs((x == y).mean() - 200 / 400) < 0.13
+
+
+@pytest.mark.parametrize(
+    "text, found, plain",
+    [("Ｕltima", True, "Ultima"), ("ﬁn", True, "fin"), ("și", True, "și"), ("a​b", True, "ab"), ("a b", True, "a b"), ("ştiri", True, "știri"), ("Mobanοzescu", True, "Mobanozescu"), ("Москва „da” – …", False, None), ("și\tda\r\n", False, None), ("", False, None), ("μετα αβ", False, None), ("x̆", True, "x̆"), ("̆x", False, None)],
+)
+def test_p6_cases(text, found, plain):
+    counts = {}
+    for c in text + "aăâbcdefghiîlmnoprsștțuvz " * 3:
+        counts[c] = counts.get(c, 0) + 1
+    for a, b in zip(text, text[1:]):
+        if len(unicodedata.normalize("NFC", a + b)) == 1:
+            counts[a + b] = 1
+    run = p6_forms.rewriter(p6_forms.build_rules(counts), True)
+    got = next(run([pa.RecordBatch.from_arrays([pa.array(["k"]), pa.array([text])], ["item", "text"])]))
+    assert got.column(2).to_pylist() == [found] and got.column(1).to_pylist() == [text if plain is None else plain]
+
+
+def test_p6_representative_follows_frequency():
+    rules, letters = p6_forms.build_rules({"ş": 9, "ș": 1, "ș": 2, "𝐚": 1})
+    assert rules["ş"] == rules["ș"] == rules["ş"] == "ș" and rules["𝐚"] == "a" and letters["а"] == "a"
+
+
+def test_p4_scores(spark):
+    data = [(f"a{i}", "Alfa beta", "x") for i in range(4)] + [("b", "beta gama", "y"), ("b", "beta gama", "y"), ("c", "", "y"), ("d", None, "y"), ("e", "alfa", None), (None, "alfa", "y")]
+    df = spark.createDataFrame(data, "url string, cleantext string, source_domain string").withColumn("term", F.lit(1)).withColumn("n", F.lit(1))
+    got = {(s, t): (a, n, v) for s, t, a, n, v in rows(p4_terms.distinctive_terms(df), "source_domain", "term", "articles", "all_articles", "score")}
+    assert got[("x", "alfa")][:2] == (4, 4) and got[("x", "beta")][:2] == (4, 5) and got[("y", "gama")][:2] == (1, 1)
+    o = np.array([[4, 0], [0, 2]], float)
+    e = o.sum(1, keepdims=True) * o.sum(0) / o.sum()
+    assert got[("x", "alfa")][2] == pytest.approx(2 * np.sum(np.where(o > 0, o * np.log(np.where(o > 0, o, 1) / e), 0)), abs=1e-5)
+    assert got[("y", "beta")][2] < 0 and p4_terms.distinctive_terms(df.limit(0)).count() == 0
+
+
+def test_p7_counts(spark):
+    data = [(f"u{i}", [" A  b", "a b", "c"] if i < 3 else ["", None, "c"], "S" if i < 2 else None) for i in range(5)] + [("u0", [" A  b", "a b", "c"], None), ("n", None, "s"), ("z", [], "s"), (None, ["x"], "s")]
+    df = spark.createDataFrame(data, "url string, all_ngrams array<string>, source_domain string").withColumn("id", F.lit(0)).withColumn("ngram", F.lit(0))
+    got = rows(p7_phrases.phrase_counts(df), "ngram", "occurrences", "articles", "sources", "rare", "common")
+    assert got == [("a b", 6, 3, 1, False, True), ("c", 5, 5, 1, False, True)]
+    assert p7_phrases.phrase_counts(df.limit(0)).count() == 0
+
+
+TEXTS = ["", None, "a", "  două   spații\n\nși 12 ani, don't <|endoftext|> ", "x" * 3000, "日本語 ﬁ  a\u0085b", "și\tș 🙂🙂 ok", " ", "\r\n\r\n x"]
+
+
+def test_p8_round_trip_and_reference(spark):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(f"{bpe.TOKENIZERS}/byte_bpe_50k.json")
+    t.encode_special_tokens = True
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id bigint, text string").withColumn("word", F.lit(1)).withColumn("ids", F.lit("x"))
+    df = df.union(df)
+    want = sorted((i, tuple(t.encode(x or "", add_special_tokens=False).ids)) for i, x in enumerate(TEXTS)) * 2
+    for bound in (p8_encode.BROADCAST_BYTES, 0):
+        got = p8_encode.encode(df, broadcast_bytes=bound)
+        assert sorted((r["doc_id"], tuple(r["ids"])) for r in got.collect()) == sorted(want)
+    one = p8_encode.encode(df.limit(len(TEXTS)))
+    assert dict(rows(p8_encode.decode(one), "doc_id", "text")) == {i: x or "" for i, x in enumerate(TEXTS)}
+    assert p8_encode.encode(df.limit(0)).count() == 0 and p8_encode.encode(df.limit(0), broadcast_bytes=0).count() == 0
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.text(alphabet="abc ", max_size=60), max_size=6), st.lists(st.text(alphabet="abc ", max_size=60), max_size=4))
+def test_p9_against_brute_force(docs, items):
+    w, r = p9_leaks.text_words(pa.array(docs, pa.string()))
+    tw, tr = p9_leaks.text_words(pa.array(items, pa.string()))
+    d, i, n, p, q = p9_leaks.find_matches(w, r, tw, tr, p9_leaks._room(tr) if len(tr) else tr)
+    want = {}
+    for a, x in enumerate(docs):
+        for b, y in enumerate(items):
+            x1, y1 = x.split(), y.split()
+            best = max((k for s in range(len(x1)) for u in range(len(y1)) for k in [next((m for m in range(min(len(x1) - s, len(y1) - u)) if x1[s + m] != y1[u + m]), min(len(x1) - s, len(y1) - u))]), default=0)
+            if best >= p9_leaks.MATCH:
+                want[(a, b)] = best
+    assert {(int(a), int(b)): int(k) for a, b, k in zip(d, i, n)} == want
+    for a, b, k, x, y in zip(d, i, n, p, q):
+        assert docs[a].split()[x : x + k] == items[b].split()[y : y + k]
+
+
+def test_p9_tables(spark, monkeypatch):
+    monkeypatch.setattr(p9_leaks, "BLOCK_WORDS", 10)  # many blocks
+    passage = " ".join(f"w{i}" for i in range(14))
+    docs = spark.createDataFrame([(1, f"x {passage.upper()}, y"), (2, None), (3, ""), (4, passage[:30]), (5, f"a {passage}"), (5, f"a {passage}")], "doc_id bigint, text string").withColumn("item_id", F.lit(0)).withColumn("words", F.lit(0))
+    items = spark.createDataFrame([(7, passage), (8, "intro " + passage), (9, None), (10, "")], "item_id bigint, text string").withColumn("doc_id", F.lit(0))
+    assert sorted(set(rows(p9_leaks.leaks(docs, items), "doc_id", "item_id", "words"))) == [(1, 7, 14), (1, 8, 14), (5, 7, 14), (5, 8, 14)]
+    assert p9_leaks.leaks(docs, items.limit(0)).count() == 0 and p9_leaks.leaks(docs.limit(0), items).count() == 0
+
+
+def test_p10_pieces(spark):
+    rng = random.Random(1)
+    sentence = lambda: " ".join(rng.choice(["banii", "legea", "votul", "oraș", "munte"]) for _ in range(12)).capitalize() + "."
+    texts = {1: "\n\n".join(" ".join(sentence() for _ in range(5)) for _ in range(12)), 2: "fără puncte " * 300, 3: "q" * 4000, 4: "scurt", 5: "", 6: None, 7: "\n".join(f"a;{i};b" for i in range(400)), 8: " " * 900 + "x" * 10}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").withColumn("piece", F.lit(1)).withColumn("tokens", F.lit("x"))
+    enc = bpe.encoding()
+    got = {}
+    for r in p10_pieces.pieces(df, 256, 32).orderBy("doc_id", "piece").collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert set(got) == {k for k, t in texts.items() if t and len(enc.encode_ordinary(t)) > 256}
+    for k, ps in got.items():
+        t, end = texts[k], 0
+        assert [p["piece"] for p in ps] == list(range(len(ps))) and ps[0]["begin_char"] == 0 and ps[-1]["end_char"] == len(t)
+        for p in ps:
+            assert t[p["begin_char"] : p["end_char"]] == p["text"] and p["begin_char"] <= end and p["end_char"] > end
+            assert len(enc.encode_ordinary(p["text"])) == p["tokens"] <= 256
+            end = p["end_char"]
+    assert all(p["text"].rstrip().endswith(".") for p in got[1])
+    assert all(8 <= p["overlap"] <= 64 for p in got[1][1:])
+    assert p10_pieces.pieces(df.limit(0)).count() == 0
+
+
+NAMES = {
+    "p": ["Dumitru Șisamazescu", "DUMITRU ȘISAMAZESCU", "Șisamazescu, Dumitru", "D. Șisamazescu", "D.Șisamazescu", "Mitică Șisamazescu", "Dumitru Șisamzescu", "dl. Dumitru Șisamazescu"],
+    "q": ["Corina-Emil Cișigimescu", "Corina E. Cișigimescu", "Cișigimescu Corina-Emil", "Corina Cișigimescu"],
+    "r": ["Alexandru Cișigimescu", "Cișigimescu Sandu", "Alexandru Ｃișigimescu"],
+    "o": ["Sindicatul Acțiunea Modernă Matolacona", "Sind. Acțiunea Modernă Matolacona", "Sindicatul A.M. Matolacona", "Acțiunea Modernă Matolacona, Sindicatul", "Sindicatul „Acțiunea Modernă” Matolacona", "Acțiunea Modernă Matolacona", "SAMM", "S.A.M.M.", "Sindicatul Acțuinea Modernă Matolacona"],
+}
+
+
+def test_p2_variants(spark):
+    single = ["Dunărea", "DUNĂREA", "Fozibemești", "", "...", None, "Parlamentul European", "C. Cișigimescu"]
+    ner = spark.createDataFrame([(v * 3,) for v in NAMES.values()] + [(single,), (None,), ([],)], "ner array<string>").withColumn("name", F.lit(1)).withColumn("entity", F.lit(1))
+    feats = spark.createDataFrame([("Dumitru Șisamazescu", 1), (None, 2)], "entity string, n int")
+    got = {}
+    for n, e in rows(p2_names.link_names(p2_names.names_of(ner, feats)), "name", "entity"):
+        got.setdefault(e, set()).add(n)
+    want = [set(v) for v in NAMES.values()]
+    # the initial C. fits Corina only
+    want[1].add("C. Cișigimescu")
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want))
+    assert p2_names.link_names(p2_names.names_of(ner.limit(0), feats.limit(0))).count() == 0
+
+
+def test_p2_large_block_links_the_same(spark, monkeypatch):
+    ner = spark.createDataFrame([(v,) for v in NAMES.values()], "ner array<string>")
+    none = spark.createDataFrame([], "entity string")
+    whole = rows(p2_names.link_names(p2_names.names_of(ner, none)), "name", "entity")
+    monkeypatch.setattr(p2_names, "LARGE", 2)
+    assert rows(p2_names.link_names(p2_names.names_of(ner, none)), "name", "entity") == whole
+
+
+@given(st.text(alphabet="abcd", max_size=7), st.text(alphabet="abcd", max_size=7))
+def test_p2_symmetric_deletion_finds_all_edits(a, b):
+    n = min(p2_names.allowed(a, b), p2_names.allowed(b, a))
+    if n and p2_names.edits(a, b, n) <= n:
+        assert set(p2_names.deletions(a)) & set(p2_names.deletions(b))
+    assert p2_names.edits(a, b, 9) == p2_names.edits(b, a, 9)
+
+
+def test_p1_ties_and_splits(spark):
+    arts = [("u1", "a.ro", "Ana; Ion "), ("u2", "WWW.b.ro", "ana"), ("u3", "c.ro", None), ("u4", "d.ro", ";;"), ("u5", None, "Ana"), ("u6", "e.ro", "x"), ("u1", None, "Zoe")]
+    arts += [(f"k{i}", f"k{i}.ro", "Redacția") for i in range(9)] + [("u9", "z.ro", "Ana")]
+    labels = [("u1", "t1", "biased"), ("u1", "t1", None), ("u2", "t2", None), ("u3", "same", "biased"), ("u4", "same", "unbiased"), ("u5", "t1", "biased"), ("u6", "", "biased"), ("none", None, None), (None, "same", "biased"), ("far", "same", "biased")]
+    labels += [(f"k{i}", f"x{i}", "biased") for i in range(9)]
+    a = spark.createDataFrame(arts, "url string, source_domain string, authors string").withColumn("source", F.lit(1)).withColumn("label", F.lit(1))
+    n = spark.createDataFrame(labels, "url string, cleantext string, snorkel_label string").withColumn("source", F.lit(1)).withColumn("node", F.lit(1))
+    urls, names = p1_splits.labelled(n, a)
+    ties = p1_splits.author_ties(names).union(p1_splits.text_ties(n, urls, False))
+    assert {frozenset(x) for x in rows(ties.where("a <> b"), "a", "b")} == {frozenset(("a.ro", "b.ro")), frozenset(("c.ro", "d.ro"))}
+    got = {u: (s, x) for u, s, x in (tuple(r) for r in p1_splits.assign_splits(n, a).select("url", "source", "split").collect())}
+    assert set(got) == {u for u, _, _ in labels if u}
+    assert got["u1"][1] == got["u2"][1] == got["u5"][1] and got["u3"][1] == got["u4"][1] == got["far"][1]
+    assert p1_splits.assign_splits(n.limit(0), a).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.tuples(st.sampled_from("xyz"), st.integers(1, 9), st.integers(1, 30)), min_size=1, max_size=8))
+def test_p1_allocation_keeps_quotas(bundles):
+    counts = p1_splits.allocate(bundles)
+    assert [sum(c) for c in counts] == [n for _, _, n in bundles] and all(x >= 0 for c in counts for x in c)
+    total, largest = sum(s * n for _, s, n in bundles), max(s for _, s, _ in bundles)
+    for k, (_, share) in enumerate(p1_splits.SPLITS):
+        assert abs(sum(c[k] * s for c, (_, s, _) in zip(counts, bundles)) - share * total) <= largest * (len(bundles) + 1)
