@@ -28,23 +28,26 @@ def bound(c: Column, use) -> Column:
     return F.element_at(F.transform(F.array(c), use), 1)
 
 
-def _ngrams(words: Column, n: int, stop: Iterable[str]) -> Column:
-    last = F.size(words) - n
-    grams = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(words, i + 1, n))
+def _flagged(words: Column, stop: Iterable[str]) -> Column:
+    """Words with a flag on those that are stop words, looked up once a word."""
     stop = list(stop)
-    if stop:
-        grams = F.filter(grams, lambda g: F.exists(g, lambda w: ~F.lower(w).isin(*stop)))
-    return F.array_distinct(F.transform(grams, lambda g: F.array_join(g, " ")))
+    return F.transform(words, lambda w: F.struct(w.alias("w"), (F.lower(w).isin(*stop) if stop else F.lit(False)).alias("s")))
+
+
+def _ngrams(flagged: Column, n: int) -> Column:
+    last = F.size(flagged) - n
+    grams = F.transform(F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>")), lambda i: F.slice(flagged, i + 1, n))
+    return F.array_distinct(F.transform(F.filter(grams, lambda g: F.array_contains(g["s"], False)), lambda g: F.array_join(g["w"], " ")))
 
 
 def ngrams(words: Column, n: int, stop: Iterable[str] = ()) -> Column:
     """Distinct n-grams over an array of words; those of stop words only are left out."""
-    return bound(words, lambda w: _ngrams(w, n, stop))
+    return bound(_flagged(words, stop), lambda w: _ngrams(w, n))
 
 
 def phrase_set(words: Column, sizes: Iterable[int] = (1, 2, 3), stop: Iterable[str] = (), barrier: str | None = "PERIOD") -> Column:
     """The set of n-grams of the given sizes; those that hold the sentence barrier are left out."""
-    out = bound(words, lambda w: F.flatten(F.array(*(_ngrams(w, n, stop) for n in sizes))))
+    out = bound(_flagged(words, stop), lambda w: F.flatten(F.array(*(_ngrams(w, n) for n in sizes))))
     return out if barrier is None else F.filter(out, lambda g: ~F.contains(g, F.lit(barrier)))
 
 

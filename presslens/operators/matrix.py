@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from presslens.functions import tokens as K
+from presslens.session import spread
 
 
 def phrase_matrix(docs: DataFrame, text: str, domain: str, stop=(), min_words: int = 30, sizes=(1, 2, 3), min_total: int = 0) -> DataFrame:
@@ -18,6 +19,7 @@ def phrase_matrix(docs: DataFrame, text: str, domain: str, stop=(), min_words: i
     Rows without text or domain are left out; a phrase counts once a document.
     """
     kept = docs.select(F.col(text).alias("text"), F.col(domain).alias("domain")).na.drop().where(F.size(F.regexp_extract_all("text", F.lit(r"[^\s]+"), F.lit(0))) > min_words)
+    kept = kept if kept.isStreaming else spread(kept)
     grams = kept.select("domain", F.explode(K.phrase_set(K.tokens(F.col("text")), sizes, stop)).alias("phrase"))
     cells = grams.groupBy("phrase", "domain").agg(F.count("*").alias("n"))
     if min_total:

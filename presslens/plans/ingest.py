@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions import text as X
 from presslens.operators import sampling as G
-from presslens.session import norm_source, table
+from presslens.session import norm_source, spread, table
 from presslens.sources import connectors, io
 from presslens.storage import shared_dir
 
@@ -135,7 +135,7 @@ def clean_links_files(spark, sf_dir):
 
 
 def _cleaned(spark, sf_dir, step):
-    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.md5(step(F.col("text")).cast("binary")).alias("digest"))
+    return spread(table(spark, sf_dir, "documents").where("text is not null")).select("doc_id", F.md5(step(F.col("text")).cast("binary")).alias("digest"))
 
 
 PATTERNS = ["Citește și", "Abonează-te la buletinul zilnic", "Toate drepturile asupra acestui material aparțin publicației", "Lasă un comentariu mai jos"]

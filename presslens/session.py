@@ -31,3 +31,9 @@ def norm_source(col):
     """Source name: trimmed, lower case, without a leading ``www.``; empty counts as null."""
     s = F.regexp_replace(F.lower(F.trim(col)), r"^www\.", "")
     return F.when(F.length(s) > 0, s)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the input has fewer partitions than cores, as a single small file has; larger inputs stay as they are, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
