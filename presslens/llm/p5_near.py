@@ -6,10 +6,12 @@ permutations both the least and the greatest hash are kept, so that one
 evaluation gives two values. Values are banded (``ROWS`` to a band, from
 different permutations); a second, content-chosen kind of key, the hashes of
 runs of ``LONG`` words that are divisible by ``EVERY``, finds passages shared
-by articles of very different length. Within each bucket every member is
-paired with the least member only, so that a bucket of a third of all articles
-costs one pair a member. Pairs are then checked exactly on the sets, and the
-groups are the connected components.
+by articles of very different length. Within each bucket every member is first
+paired with the least one, which joins a bucket of copies at one pair a member;
+then all members that are still in different components are paired, so that
+every two articles with a common key are either checked or already in one
+group. Pairs are checked exactly on the sets, and the groups are the connected
+components.
 
 Nulls: rows without url or maintext take no part. Texts of fewer than three
 words have no runs and belong to no group; identical texts are collapsed before
@@ -190,23 +192,41 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
-def near_groups(rows: DataFrame) -> DataFrame:
-    """``(url, group)`` for every article that belongs with another; the group is named by its least url."""
-    signed = materialize(signatures(rows).withColumn("id", F.monotonically_increasing_id()), "p5-signed")
-    same = signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("text_key", "rep")
-    copies = materialize(signed.select("text_key", "id").join(same, "text_key").where("id <> rep").select("id", "rep"), "p5-copies")
-    keyed = signed.join(_few(copies.select("id")), "id", "left_anti").select("id", F.explode("keys").alias("bucket"))
-    lead = keyed.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1").select("bucket", "b")
-    pairs = materialize(keyed.join(lead, "bucket").where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "p5-pairs")
+def _checked(signed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs ``(a, b)`` that share enough runs."""
     used = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "p5-used")
     runs = signed.select("id", "runs").join(_few(used), "id", "left_semi")
-    checked = (
+    return (
         pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a")
         .join(runs.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b")
         .select("a", "b", "runs_a", "runs_b")
         .mapInArrow(overlaps, "a bigint, b bigint")
     )
-    comps = connected_components(checked).select(F.col("node").alias("rep"), "component")
+
+
+def _unsettled(members: DataFrame, comps: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b: the pairs within a bucket of more than two whose ends are in different components."""
+    placed = members.where("bucket is not null").join(comps.select(F.col("node").alias("id"), "component"), "id", "left").select("bucket", "id", F.coalesce("component", "id").alias("c"))
+    mixed = placed.groupBy("bucket").agg(F.min("c").alias("least"), F.max("c").alias("most")).where("least <> most").select("bucket")
+    placed = materialize(placed.join(mixed, "bucket", "left_semi"), "p5-mixed")
+    other = placed.select("bucket", F.col("id").alias("b"), F.col("c").alias("d"))
+    return placed.select("bucket", F.col("id").alias("a"), "c").join(other, "bucket").where("a < b and c <> d").select("a", "b").distinct()
+
+
+def near_groups(rows: DataFrame) -> DataFrame:
+    """``(url, group)`` for every article that belongs with another; the group is named by its least url."""
+    signed = materialize(signatures(rows).withColumn("id", F.monotonically_increasing_id()), "p5-signed")
+    same = signed.groupBy("text_key").agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").select("text_key", "rep")
+    copies = materialize(signed.select("text_key", "id").join(same, "text_key").where("id <> rep").select("id", "rep"), "p5-copies")
+    keyed = signed.join(_few(copies.select("id")), "id", "left_anti").select("id", F.explode("keys").alias("bucket"))
+    lead = keyed.groupBy("bucket").agg(F.min("id").alias("b"), F.count("*").alias("n")).where("n > 1")
+    # a bucket of two is settled by its one pair; of larger ones the members are kept
+    members = materialize(keyed.join(lead, "bucket").where("id <> b or n > 2").select("id", "b", F.when(F.col("n") > 2, F.col("bucket")).alias("bucket")).distinct(), "p5-members")
+    pairs = materialize(members.where("id <> b").select(F.col("id").alias("a"), "b").distinct(), "p5-pairs")
+    led = materialize(_checked(signed, pairs), "p5-led")
+    rest = materialize(_unsettled(members, connected_components(led)), "p5-rest")
+    linked = led.union(_checked(signed, rest.join(pairs.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"], "left_anti")))
+    comps = connected_components(linked).select(F.col("node").alias("rep"), "component")
     named = signed.select("url", "id").join(_few(copies), "id", "left").select("url", F.coalesce("rep", "id").alias("rep"))
     named = named.join(comps, "rep", "left").select("url", F.coalesce("component", "rep").alias("c")).distinct()
     sized = named.groupBy("c").agg(F.min("url").alias("group"), F.count("*").alias("n")).where("n > 1").select("c", "group")

@@ -100,6 +100,27 @@ def test_p5_against_brute_force(spark, monkeypatch, broadcast):
     assert all(g == min(v) for g, v in got.items())
 
 
+@pytest.mark.parametrize("first", [True, False])
+def test_p5_members_that_differ_from_the_least_are_compared(spark, first):
+    """Two similar articles whose only common key is a quotation that an unlike article has too."""
+    for seed in itertools.count():
+        rng = random.Random(seed)
+        word = lambda: "".join(rng.choice("abcdefghij") for _ in range(9))
+        passage = [word() for _ in range(30)]
+        w, r = tv.words_of(*tv.fold_codes(*tv.codes_of(pa.array([" ".join(passage)]))))[:2]
+        h, _ = tv.shingle_hashes(w, r, p5_near.LONG)
+        at = [i for i, x in enumerate(h.tolist()) if x % p5_near.EVERY == 0]
+        if len(at) == 1:
+            break
+    fill = lambda n: [word() for _ in range(n)]
+    texts = {"quotes": passage[at[0] : at[0] + p5_near.LONG] + fill(45), "short": passage + fill(30), "long": fill(900) + passage + fill(900)}
+    texts = {u: " ".join(x) for u, x in texts.items()}
+    assert brute_groups(texts) == [["long", "short"]]
+    data = [(u, t, f"s{u}") for u, t in texts.items()]
+    got = rows(p5_near.near_groups(articles(spark, data if first else data[::-1])), "url", "group")
+    assert got == [("long", "long"), ("short", "long")]
+
+
 def test_p5_empty(spark):
     assert p5_near.near_groups(articles(spark, [("u", None, "s")])).count() == 0
 
