@@ -3,7 +3,8 @@
 Method: every line is folded and masked (numbers and dates to one token, runs
 of capitalised words to another), lines are clustered within each source by
 locality-sensitive hashing (min-hash bands over the masked words), clusters
-with a high document frequency are kept, and an exact check on the letters of
+with a high document frequency are kept (a line counts there with all its spellings,
+however they are masked), and an exact check on the letters of
 each line follows: a line counts as repeated if at least ``MIN_ARTICLES``
 articles of its source and at least a twentieth of them have it.
 
@@ -18,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslens.llm import textvec as tv
@@ -141,7 +142,9 @@ def repeated_keys(arts: DataFrame) -> DataFrame:
     totals = sourced.groupBy("source").agg(F.count("*").alias("total"))
     lines = sourced.select("source", "url", F.explode("lines").alias("l")).where("l.key <> 0").select("source", "url", "l.*")
     kinds = lines.groupBy("source", "key", *(f"band{k}" for k in range(BANDS))).agg(F.count("*").alias("n"))
-    banded = kinds.select("source", "key", "n", F.posexplode(F.array(*(f"band{k}" for k in range(BANDS)))).alias("band", "bucket"))
+    # a key counts in each bucket with the occurrences of all its spellings: clustering can only admit too much, never lose a line
+    whole = kinds.withColumn("n", F.sum("n").over(Window.partitionBy("source", "key")))
+    banded = whole.select("source", "key", "n", F.posexplode(F.array(*(f"band{k}" for k in range(BANDS)))).alias("band", "bucket"))
     enough = lambda c: (F.col(c) >= MIN_ARTICLES) & (F.col(c) * SHARE >= F.col("total"))
     clusters = banded.groupBy("source", "band", "bucket").agg(F.sum("n").alias("size")).join(totals, "source").where(enough("size")).select("source", "band", "bucket")
     members = banded.where(F.col("n") >= MIN_ARTICLES).join(clusters, ["source", "band", "bucket"], "left_semi").select("source", "key").distinct()

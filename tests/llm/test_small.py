@@ -55,6 +55,14 @@ def test_p3_share(spark):
     assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data[:100]))).count() == 5
 
 
+def test_p3_spellings_that_mask_differently(spark):
+    forms = ["Lasă un comentariu nou", "LASĂ UN COMENTARIU NOU", "Lasă un co-men-tariu 7 nou"]
+    data = [(f"u{i}", f"text {chr(97 + i) * 3}\n{forms[i % 3]}", "s") for i in range(7)] + [(f"v{i}", forms[i], "t") for i in range(3)]
+    arts = p3_lines.article_lines(articles(spark, data))
+    assert rows(p3_lines.repeated_keys(arts), "source", "articles") == [("s", 7)]
+    assert rows(p3_lines.repeated_lines(arts), "url", "line_no") == [(f"u{i}", 1) for i in range(7)]
+
+
 def brute_groups(texts, share=0.45):
     sets = {}
     for u, t in texts.items():
