@@ -279,6 +279,17 @@ def test_p2_large_block_links_the_same(spark, monkeypatch):
     assert rows(p2_names.link_names(p2_names.names_of(ner, none)), "name", "entity") == whole
 
 
+def test_p2_typos_of_several_names_and_ties(spark):
+    """A misspelt family name in three spellings, and one that is as frequent as the right one; bearers of a like family name stay apart."""
+    same = [["Ion Ionescu", "IONESCU Ion", "Ionescu, Ion", "dl. Ion Ionescu", "Ion Ionsecu", "IONSECU Ion", "Ionsecu, Ion"], ["Maria Dobrogeanu", "Maria Dobrgoeanu"], ["Horia Darocevescu", "H. Darocevescu", "Darocevescu"], ["Paula Darosecescu", "P. Darosecescu", "Darosecescu"]]
+    given_name = [f"Maria {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}olteanu" for i in range(0, 20, 3)]
+    ner = spark.createDataFrame([(v,) for v in [*same, given_name]], "ner array<string>")
+    got = {}
+    for n, e in rows(p2_names.link_names(p2_names.names_of(ner, spark.createDataFrame([], "entity string"))), "name", "entity"):
+        got.setdefault(e, []).append(n)
+    assert sorted(got.values()) == sorted(sorted(v) for v in same)
+
+
 @given(st.text(alphabet="abcd", max_size=7), st.text(alphabet="abcd", max_size=7))
 def test_p2_symmetric_deletion_finds_all_edits(a, b):
     n = min(p2_names.allowed(a, b), p2_names.allowed(b, a))
