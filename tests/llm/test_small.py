@@ -298,6 +298,41 @@ def test_p2_symmetric_deletion_finds_all_edits(a, b):
     assert p2_names.edits(a, b, 9) == p2_names.edits(b, a, 9)
 
 
+def test_p2_typo_at_the_start_in_a_large_block():
+    made = [f"{a}{b}{c}una" for a in "bdfgklmpst" for b in "aeiou" for c in "bdfgklmpst"]
+    names = [f"{x} Ionescu" for x in ["cristina", "rcistina", "ristina", *made]]
+    tokens = [n.lower().split() for n in names]
+    links = p2_names.link_block(names, tokens, [[False] * 2] * len(names), ["ionescu"] * len(names), "ionescu")
+    assert {frozenset(x) for x in links if "istina" in x[0]} == {frozenset((x, "cristina Ionescu")) for x in ("rcistina Ionescu", "ristina Ionescu")}
+
+
+TOKENS = st.tuples(st.sampled_from("cristina rcistina ristina cris c cr ion ionel ionut i ioan ioana maria mari m alexandra alex sanda sandra dan daniel daniil marian".split()), st.booleans())
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(TOKENS, min_size=1, max_size=4), min_size=1, max_size=12))
+def test_p2_index_links_as_all_pairs_do(rests):
+    names = [f"{i} " + " ".join(t for t, _ in r) for i, r in enumerate(rests)]
+    args = names, [["popescu", *(t for t, _ in r)] for r in rests], [[False, *(d for _, d in r)] for r in rests], ["popescu"] * len(rests), "popescu"
+    assert p2_names.link_block(*args, 0) == p2_names.link_block(*args, 10**9)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(TOKENS, min_size=1, max_size=5), st.lists(TOKENS, min_size=1, max_size=5))
+def test_p2_both_assignments_agree(a, b):
+    x, y = p2_names.align(a, b), p2_names._align_wide(a, b)
+    assert (x is None) == (y is None)
+    if x:
+        cost = lambda p: sum(r[0] * 2 + r[1] * 3 + (i != j) for i, j in enumerate(p) for r in [p2_names.relation(*a[i], *b[j])])
+        assert cost(x[2]) == cost(y[2]) and y[0] <= x[0]
+
+
+def test_p2_long_names_are_aligned():
+    a = [(t, False) for t in "asociatia nationala pentru apararea drepturilor pacientilor varstnici din dobrogea romana".split()]
+    assert p2_names.align(a, a) == (p2_names.SAME, 0, list(range(10)))
+    assert p2_names.align(a, [("filiala", False), ("noua", False), *a[:9]]) is None
+
+
 def test_p1_ties_and_splits(spark):
     arts = [("u1", "a.ro", "Ana; Ion "), ("u2", "WWW.b.ro", "ana"), ("u3", "c.ro", None), ("u4", "d.ro", ";;"), ("u5", None, "Ana"), ("u6", "e.ro", "x"), ("u1", None, "Zoe")]
     arts += [(f"k{i}", f"k{i}.ro", "Redacția") for i in range(9)] + [("u9", "z.ro", "Ana")]
