@@ -1,10 +1,9 @@
 """Frequency of every distinct phrase (problem 7).
 
 Method: vertical layout. Articles get dense identifiers; for every phrase and
-block of 65,536 identifiers there is a set of the low 16 bits (the compressed
-bitmap's container) beside a counter of occurrences. Containers are merged by
-union, and the number of articles is read from their cardinalities. A container
-is bounded, so a phrase that a third of all articles have is many small groups.
+block of 65,536 identifiers there is a plain set of the low 16 bits (no
+compressed bitmap) beside a counter of occurrences. An article is in one source
+and one block, so the number of articles is the sum of the sizes. A set is bounded, so a phrase that a third of all articles have is many small groups.
 
 Phrases are trimmed, inner blanks collapsed, lower-cased; phrases empty after
 that are left out. Rows without url take no part; null and empty lists count as
