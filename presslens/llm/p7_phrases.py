@@ -1,9 +1,12 @@
 """Frequency of every distinct phrase (problem 7).
 
-Method: vertical layout. Articles get dense identifiers; for every phrase and
-block of 65,536 identifiers there is a plain set of the low 16 bits (no
-compressed bitmap) beside a counter of occurrences. An article is in one source
-and one block, so the number of articles is the sum of the sizes. A set is bounded, so a phrase that a third of all articles have is many small groups.
+Method: vertical layout. Articles get dense identifiers, in the order of their
+sources; every phrase has a bitmap of the articles that contain it, compressed
+to its words of 64 bits that are not zero, beside a counter of occurrences.
+Bitmaps are merged by union (a bitwise or, before and after the shuffle), and
+the number of articles is read from their cardinality. A word is a group of its
+own, so a phrase that a third of all articles have is many small groups, and
+one of few articles costs as many words.
 
 Phrases are trimmed, inner blanks collapsed, lower-cased; phrases empty after
 that are left out. Rows without url take no part; null and empty lists count as
@@ -22,31 +25,31 @@ from presslens.session import norm_source, table
 SHUFFLED = "romanian_political_articles_v2_shuffled"
 RARE_BELOW = 3
 COMMON_SHARE = 20  # common: in more than one of COMMON_SHARE articles
-BLOCK_BITS = 16
+WORD_BITS = 6
 
 
 def numbered_articles(rows: DataFrame) -> DataFrame:
     """``(id, source, phrases)``; identifiers are dense within a partition and the same on every attempt of a task."""
     arts = rows.where("url is not null").groupBy("url").agg(F.max("all_ngrams").alias("all_ngrams"), F.max(norm_source(F.col("source_domain"))).alias("source"))
-    return arts.sortWithinPartitions("url").select(F.monotonically_increasing_id().alias("id"), "source", "all_ngrams")
+    return arts.sortWithinPartitions("source", "url").select(F.monotonically_increasing_id().alias("id"), "source", "all_ngrams")
 
 
 def tidy(c):
     return F.lower(F.trim(F.regexp_replace(c, r"[\s\x1c-\x1f\x85\xA0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+", " ")))
 
 
-def containers(arts: DataFrame) -> DataFrame:
-    """``(ngram, source, block, occurrences, members)``: one bounded container per phrase, source and block of identifiers."""
+def bitmap_words(arts: DataFrame) -> DataFrame:
+    """``(ngram, source, word, occurrences, bits)``: the words of the bitmaps that are not zero, by source."""
     each = arts.select("id", "source", F.explode("all_ngrams").alias("raw")).select("id", "source", tidy(F.col("raw")).alias("ngram")).where("ngram <> ''")
-    low = F.col("id").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")
-    return each.groupBy("ngram", "source", F.shiftright("id", BLOCK_BITS).alias("block")).agg(F.count("*").alias("occurrences"), F.collect_set(low).alias("members"))
+    bit = F.expr(f"shiftleft(1L, cast(id & {(1 << WORD_BITS) - 1} as int))")
+    return each.groupBy("ngram", "source", F.shiftright("id", WORD_BITS).alias("word")).agg(F.count("*").alias("occurrences"), F.bit_or(bit).alias("bits"))
 
 
 def phrase_counts(rows: DataFrame) -> DataFrame:
     """``(ngram, occurrences, articles, sources, share, rare, common)`` of every distinct phrase."""
     arts = numbered_articles(rows)
     n = arts.where("size(all_ngrams) > 0").agg(F.count("*").alias("n"))
-    by_source = containers(arts).groupBy("ngram", "source").agg(F.sum("occurrences").alias("o"), F.sum(F.size("members")).alias("a"))
+    by_source = bitmap_words(arts).groupBy("ngram", "source").agg(F.sum("occurrences").alias("o"), F.sum(F.bit_count("bits")).alias("a"))
     counts = by_source.groupBy("ngram").agg(F.sum("o").alias("occurrences"), F.sum("a").alias("articles"), F.count("source").alias("sources")).withColumn("n", n.scalar())
     return counts.select("ngram", "occurrences", "articles", "sources", (F.col("articles") < RARE_BELOW).alias("rare"), (F.col("articles") * COMMON_SHARE > F.col("n")).alias("common"))
 
