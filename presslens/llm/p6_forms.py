@@ -6,11 +6,14 @@ letters, look-alikes of other alphabets, the kinds of blanks, invisible
 characters) are joined into classes by union-find, transitively; the
 representative of a class is its most frequent regular member in the corpus;
 an Aho-Corasick automaton over the irregular members rewrites each text
-greedily, longest match first. Letters of another alphabet are rewritten only
-within words that also have Latin letters.
+greedily, longest match first. Letters of another alphabet are rewritten, by a
+second automaton, only within words that also have Latin letters. A text is
+irregular where one of the automata has rewritten something in it; a letter
+with a mark that no composed letter stands for is its own representative, and
+counts as rewritten by itself.
 
 Corpus counts are bounded by the code space: one counter for a code point and
-one for each pair of letter and mark that Unicode composes. Only texts that
+one for each pair of letter and mark that occurs. Only texts that
 have a character which can begin an irregularity reach the automaton; that
 test looks at every character of every text.
 
@@ -124,11 +127,10 @@ def build_rules(counts: dict[str, int]) -> tuple[dict[str, str], dict[str, str]]
                 near.join(u, unicodedata.normalize("NFD", u))
     rewrites = {}
     for members in near.members().values():
-        good = [m for m in members if regular(m)]
-        if not good:
-            continue
+        good = [m for m in members if regular(m)] or [unicodedata.normalize("NFKC", min(members))]
         best = min(good, key=lambda m: (-counts.get(m, 0), m))
         rewrites |= {m: best for m in members if m != best and not regular(m)}
+    rewrites |= {u: u for u in units if len(u) > 1 and u not in rewrites and not regular(u)}
     for x, y in tv.LOOKALIKE.items():
         foreign.join(x, y)
     letters = {}
@@ -148,36 +150,43 @@ class Rewriter:
     def __init__(self, rewrites: dict[str, str], letters: dict[str, str]):
         import ahocorasick
 
-        self.machine = ahocorasick.Automaton()
-        for x, y in rewrites.items():
-            self.machine.add_word(x, (len(x), y))
-        if rewrites:
-            self.machine.make_automaton()
-        self.empty = not rewrites
-        self.letters = {ord(x): y for x, y in letters.items()}
+        self.machine, self.letters = (self._made(ahocorasick.Automaton(), x) for x in (rewrites, letters))
+
+    @staticmethod
+    def _made(machine, rules):
+        for x, y in rules.items():
+            machine.add_word(x, (len(x), y))
+        if rules:
+            machine.make_automaton()
+        return machine if rules else None
 
     def __call__(self, text: str) -> tuple[str, bool]:
-        """(text in the one form, whether a word mixed alphabets)."""
-        text, mixed = self._plain(unicodedata.normalize("NFC", self._plain(text))), False
+        """(text in the one form, whether anything was rewritten in it)."""
+        text, first = self._plain(self.machine, text)
+        text, second = self._plain(self.machine, unicodedata.normalize("NFC", text))
+        touched = first or second
 
         def word(m):
-            nonlocal mixed
+            nonlocal touched
             kinds = {a for c in m[0] if (a := alphabet(c))}
             if len(kinds) > 1 and "LATIN" in kinds:
-                mixed = True
-                return unicodedata.normalize("NFC", m[0].translate(self.letters))
+                touched = True
+                return unicodedata.normalize("NFC", self._plain(self.letters, m[0])[0])
             return m[0]
 
-        return _WORD.sub(word, text), mixed
+        return _WORD.sub(word, text), touched
 
-    def _plain(self, text: str) -> str:
+    @staticmethod
+    def _plain(machine, text: str) -> tuple[str, bool]:
         out, done = [], 0
-        if not self.empty:
-            for end, (n, plain) in self.machine.iter_long(text):
+        if machine is not None:
+            for end, (n, plain) in machine.iter_long(text):
                 out += (text[done : end - n + 1], plain)
                 done = end + 1
+        if not done:
+            return text, False
         out.append(text[done:])
-        return "".join(out)
+        return "".join(out), True
 
 
 def _row_any(flag: np.ndarray, offsets: np.ndarray) -> np.ndarray:
@@ -203,10 +212,9 @@ def rewriter(rules, keep_all: bool):
                     mark[offsets[:-1][offsets[:-1] < len(mark)]] = False
                 bad = _row_any((t & 1) > 0, offsets) | _row_any(mark, offsets)
                 look = bad | _row_any((t & 4) > 0, offsets)
-                plain, irregular = (text.to_pylist() if keep_all else [None] * len(text)), bad.copy()
+                plain, irregular = (text.to_pylist() if keep_all else [None] * len(text)), np.zeros(len(text), bool)
                 for i in np.flatnonzero(look):
-                    plain[i], mixed = write(text[i].as_py())
-                    irregular[i] |= mixed
+                    plain[i], irregular[i] = write(text[i].as_py())
                 made = pa.RecordBatch.from_arrays([item, pa.array(plain, pa.string()), pa.array(irregular)], ["item", "text", "irregular"])
                 yield made if keep_all else made.filter(pa.array(irregular))
 
@@ -227,7 +235,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both, k = np.unique(codes[at - 1].astype(np.uint64) << np.uint64(32) | codes[at], return_counts=True)
             for x, m in zip(both.tolist(), k.tolist()):
                 s = chr(x >> 32) + chr(x & 0xFFFFFFFF)
-                if len(unicodedata.normalize("NFC", s)) == 1:
+                if unicodedata.category(s[0])[0] == "L":
                     pairs[s] = pairs.get(s, 0) + m
     seen = np.flatnonzero(total)
     units = [chr(c) for c in seen] + list(pairs)
