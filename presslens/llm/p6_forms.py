@@ -8,12 +8,12 @@ representative of a class is its most frequent regular member in the corpus;
 an Aho-Corasick automaton over the irregular members rewrites each text
 greedily, longest match first. Letters of another alphabet are rewritten, by a
 second automaton, only within words that also have Latin letters. A text is
-irregular where one of the automata has rewritten something in it; a letter
-with a mark that no composed letter stands for is its own representative, and
-counts as rewritten by itself.
+irregular where the rewriting has found something: a member of a class, a word
+of several alphabets, or a mark that stays separate as no composed letter
+stands for it.
 
 Corpus counts are bounded by the code space: one counter for a code point and
-one for each pair of letter and mark that occurs. Only texts that
+one for each pair of letter and mark that Unicode composes. Only texts that
 have a character which can begin an irregularity reach the automaton; that
 test looks at every character of every text.
 
@@ -130,7 +130,6 @@ def build_rules(counts: dict[str, int]) -> tuple[dict[str, str], dict[str, str]]
         good = [m for m in members if regular(m)] or [unicodedata.normalize("NFKC", min(members))]
         best = min(good, key=lambda m: (-counts.get(m, 0), m))
         rewrites |= {m: best for m in members if m != best and not regular(m)}
-    rewrites |= {u: u for u in units if len(u) > 1 and u not in rewrites and not regular(u)}
     for x, y in tv.LOOKALIKE.items():
         foreign.join(x, y)
     letters = {}
@@ -161,13 +160,14 @@ class Rewriter:
         return machine if rules else None
 
     def __call__(self, text: str) -> tuple[str, bool]:
-        """(text in the one form, whether anything was rewritten in it)."""
+        """(text in the one form, whether anything irregular was found in it)."""
         text, first = self._plain(self.machine, text)
         text, second = self._plain(self.machine, unicodedata.normalize("NFC", text))
         touched = first or second
 
         def word(m):
             nonlocal touched
+            touched |= any(unicodedata.category(c) == "Mn" for c in m[0][1:])
             kinds = {a for c in m[0] if (a := alphabet(c))}
             if len(kinds) > 1 and "LATIN" in kinds:
                 touched = True
@@ -235,7 +235,7 @@ def _count_units(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             both, k = np.unique(codes[at - 1].astype(np.uint64) << np.uint64(32) | codes[at], return_counts=True)
             for x, m in zip(both.tolist(), k.tolist()):
                 s = chr(x >> 32) + chr(x & 0xFFFFFFFF)
-                if unicodedata.category(s[0])[0] == "L":
+                if len(unicodedata.normalize("NFC", s)) == 1:
                     pairs[s] = pairs.get(s, 0) + m
     seen = np.flatnonzero(total)
     units = [chr(c) for c in seen] + list(pairs)
