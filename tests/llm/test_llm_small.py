@@ -381,10 +381,32 @@ def test_p1_ties_and_splits(spark):
 
 
 @settings(max_examples=40, deadline=None)
-@given(st.lists(st.tuples(st.sampled_from("xyz"), st.integers(1, 9), st.integers(1, 30)), min_size=1, max_size=8))
+@given(st.lists(st.tuples(st.dictionaries(st.sampled_from("xyz"), st.integers(1, 9), min_size=1), st.integers(1, 30)), min_size=1, max_size=8))
 def test_p1_allocation_keeps_quotas(bundles):
     counts = p1_splits.allocate(bundles)
-    assert [sum(c) for c in counts] == [n for _, _, n in bundles] and all(x >= 0 for c in counts for x in c)
-    total, largest = sum(s * n for _, s, n in bundles), max(s for _, s, _ in bundles)
+    assert [sum(c) for c in counts] == [n for _, n in bundles] and all(x >= 0 for c in counts for x in c)
+    sizes = [sum(p.values()) for p, _ in bundles]
+    total, largest = sum(s * n for s, (_, n) in zip(sizes, bundles)), max(sizes)
     for k, (_, share) in enumerate(p1_splits.SPLITS):
-        assert abs(sum(c[k] * s for c, (_, s, _) in zip(counts, bundles)) - share * total) <= largest * (len(bundles) + 1)
+        assert abs(sum(c[k] * s for c, s in zip(counts, sizes)) - share * total) <= largest * (len(bundles) + 1)
+    for label in "xyz":
+        of = sum(p.get(label, 0) * n for p, n in bundles)
+        for k, (_, share) in enumerate(p1_splits.SPLITS):
+            assert abs(sum(c[k] * p.get(label, 0) for c, (p, _) in zip(counts, bundles)) - share * of) <= largest * (len(bundles) + 1)
+
+
+def test_p1_labels_keep_their_quotas_too():
+    counts = np.array(p1_splits.allocate([({"a": 1}, 1000), ({"b": 1}, 500), ({"a": 3, "b": 1}, 10)]))
+    sizes, a, b = np.array([1, 1, 4]) @ counts, np.array([1, 0, 3]) @ counts, np.array([0, 1, 1]) @ counts
+    assert sizes.tolist() == [1232, 154, 154] and np.abs(a - [824, 103, 103]).max() <= 2 and np.abs(b - [408, 51, 51]).max() <= 2
+
+
+def test_p1_found_is_told_from_the_assignment(spark, tmp_path):
+    rows_ = [(f"u{i}", f"s{i % 6}.ro", {0: "Ana", 1: "Ana", 2: "Ion", 3: "Ion"}.get(i % 6)) for i in range(60)]
+    spark.createDataFrame(rows_, "url string, source_domain string, authors string").write.parquet(f"{tmp_path}/{p1_splits.SHUFFLED}.parquet")
+    # a url without source holds two texts: it ties its sources' splits, but makes them no case
+    labels = [(u, f"t{u}", "biased") for u, _, _ in rows_] + [("far", "x", "biased"), ("far", "y", "biased"), ("u4", "x", "biased"), ("u5", "y", "biased")]
+    spark.createDataFrame(labels, "url string, cleantext string, snorkel_label string").write.parquet(f"{tmp_path}/{p1_splits.LABELS}.parquet")
+    assert rows(p1_splits.p1_found(spark, str(tmp_path)), "source_a", "source_b") == [("s0.ro", "s1.ro"), ("s2.ro", "s3.ro")]
+    split = {s: x for s, x in rows(p1_splits.p1_splits(spark, str(tmp_path)).where("source is not null"), "source", "split")}
+    assert split["s0.ro"] == split["s1.ro"] and split["s2.ro"] == split["s3.ro"] and split["s4.ro"] == split["s5.ro"]
