@@ -179,7 +179,10 @@ def first_json_map(c: Column) -> Column:
     blocks = F.array_sort(F.regexp_extract_all(strip_fence(c), F.lit(r"(?s)\{.*?\}"), F.lit(0)), lambda a, b: F.length(b) - F.length(a))
     parsed = F.filter(F.transform(blocks, lambda b: F.from_json(b, "map<string,string>")), lambda m: m.isNotNull() & (F.size(m) > 0))
     first = F.try_element_at(parsed, F.lit(1))
-    return F.map_from_entries(F.transform(F.map_entries(first), lambda e: F.struct(F.trim(e.key), F.trim(e.value))))
+    pairs = F.transform(F.map_entries(first), lambda e: F.struct(F.trim(e.key).alias("k"), F.trim(e.value).alias("v")))
+    # of keys that are one when trimmed, the last counts
+    last = F.filter(pairs, lambda e, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda x: x.k == e.k))
+    return F.map_from_entries(last)
 
 
 def parse_list(c: Column) -> Column:

@@ -2,9 +2,9 @@
 
 log of the expected count of (row, domain) = U diag(w) V'. Rows of U stay
 distributed beside the row's counts; V and w (one number a domain and rank) are
-all that the driver holds and sends out. The loss has an exponential in every
-cell, so each row is a dense vector over the domains, whose number is bounded
-by ``MAX_DOMAINS``.
+all that the driver holds and sends out. Rows are kept sparse; the loss has an
+exponential in every cell, so a few rows at a time are made dense in the
+workers. Sums over rows are added up by Spark, element by element.
 """
 
 from __future__ import annotations
@@ -20,18 +20,43 @@ from pyspark.sql import functions as F
 from presslens.storage import materialize
 
 MAX_DOMAINS = 5000
-CLIP = 20.0
+CLIP, WEIGHT = 20.0, 10.0
+DENSE_CELLS = 2_000_000
 
 
-def dense_rows(matrix: DataFrame, row: str) -> tuple[DataFrame, list[str]]:
-    """``(row, n: array<double>)`` over the sorted domains."""
+def sparse_rows(matrix: DataFrame, row: str) -> tuple[DataFrame, list[str]]:
+    """``(row, at: array<int>, n: array<double>)``: places of the sorted domains, and counts."""
     domains = [r[0] for r in matrix.select("domain").distinct().orderBy("domain").limit(MAX_DOMAINS + 1).collect()]
     if len(domains) > MAX_DOMAINS:
         raise ValueError(f"more than {MAX_DOMAINS} domains")
     index = matrix.sparkSession.createDataFrame(list(enumerate(domains)), "at int, domain string")
-    cells = matrix.join(F.broadcast(index), "domain").groupBy(row).agg(F.map_from_entries(F.collect_list(F.struct("at", F.col("n").cast("double")))).alias("m"))  # bounded by MAX_DOMAINS
-    full = F.transform(F.sequence(F.lit(0), F.lit(len(domains) - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)))
-    return cells.select(row, full.alias("n")), domains
+    cells = matrix.join(F.broadcast(index), "domain").groupBy(row).agg(F.array_sort(F.collect_list(F.struct("at", F.col("n").cast("double").alias("n")))).alias("_c"))  # bounded by MAX_DOMAINS
+    return cells.select(row, F.col("_c.at").alias("at"), F.col("_c.n").alias("n")), domains
+
+
+def dense_parts(pdf: pd.DataFrame, domains: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of rows as dense arrays of bounded size."""
+    step = max(1, DENSE_CELLS // max(1, domains))
+    for b in range(0, len(pdf), step):
+        at, n = pdf["at"].iloc[b : b + step], pdf["n"].iloc[b : b + step]
+        out = np.zeros((len(at), domains))
+        out[np.repeat(np.arange(len(at)), at.map(len)), np.concatenate(at.tolist())] = np.concatenate(n.tolist())
+        yield slice(b, b + len(at)), out
+
+
+def summed(rows: DataFrame, part) -> np.ndarray:
+    """The sum of ``part(pdf)``, a vector for each batch, over all batches: only the total comes to the driver."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = None
+        for pdf in batches:
+            if len(pdf):
+                total = part(pdf) if total is None else total + part(pdf)
+        if total is not None:
+            yield pd.DataFrame({"x": [total]})
+
+    each = rows.mapInPandas(run, "x array<double>").select(F.posexplode("x").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"))
+    return each.toPandas().sort_values("i")["x"].to_numpy()
 
 
 def loss_and_gradients(n: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarray):
@@ -47,35 +72,29 @@ def loss_and_gradients(n: np.ndarray, u: np.ndarray, v: np.ndarray, w: np.ndarra
 
 @dataclass
 class PoissonEmbedder:
-    """``fit`` alternates Newton steps on the distributed rows with damped steps on V and w, each accepted only if the loss falls."""
+    """``fit`` solves the distributed rows for given V and w, and takes damped Newton steps (by the diagonal) on V and w together; a step is kept only if the loss falls."""
 
     rank: int = 3
     seed: int = 42
     l2: float = 1e-4
     losses: list[float] = field(default_factory=list)
 
-    def fit(self, matrix: DataFrame, row: str = "phrase", max_iter: int = 12) -> PoissonEmbedder:
-        rows, self.domains = dense_rows(matrix, row)
+    def fit(self, matrix: DataFrame, row: str = "phrase", max_iter: int = 30) -> PoissonEmbedder:
+        rows, self.domains = sparse_rows(matrix, row)
         self.row, self.rows = row, materialize(rows, "embed-rows")
-        d = len(self.domains)
-        gram = np.zeros((d, d))
-        for part in self.rows.mapInPandas(_gram, "g array<double>").collect():  # one d x d sum a partition
-            gram += np.array(part[0]).reshape(d, d)
-        values, vectors = np.linalg.eigh(gram)
-        order = np.argsort(-values)[: self.rank]
-        v = vectors[:, order] * np.sign(vectors[np.abs(vectors[:, order]).argmax(0), order])
-        self.V, self.w = v, np.ones(len(order))
+        self.V = self._singular_vectors()
+        self.w = np.ones(self.V.shape[1])
         step = 1.0
-        loss, gv, gw, hv = self._pass()
+        loss, gv, gw, hv, hw = self._pass()
         self.losses = [loss]
         for _ in range(max_iter):
-            tried = self.V.copy(), self.w.copy()
+            tried = self.V, self.w
             self.V = tried[0] - step * (gv + 2 * self.l2 * tried[0]) / (hv + 2 * self.l2)
-            self.w = np.clip(tried[1], -10, 10)
+            self.w = np.clip(tried[1] - step * (gw + 2 * self.l2 * tried[1]) / (hw + 2 * self.l2), -WEIGHT, WEIGHT)
             new = self._pass()
             if new[0] < loss:
                 done = loss - new[0] < 1e-5 * abs(loss)
-                (loss, gv, gw, hv), step = new, min(1.0, step * 1.5)
+                (loss, gv, gw, hv, hw), step = new, min(1.0, step * 1.5)
                 self.losses.append(loss)
                 if done:
                     break
@@ -85,24 +104,46 @@ class PoissonEmbedder:
                     break
         return self
 
+    def _singular_vectors(self, passes: int = 6) -> np.ndarray:
+        """The first right singular vectors by subspace iteration: each pass sums one thin array."""
+        d = len(self.domains)
+        r = min(self.rank, d)
+        v = np.linalg.qr(np.random.default_rng(self.seed).normal(size=(d, min(d, r + 6))))[0]
+
+        def part(pdf, v):
+            return sum((n.T @ (n @ v) for _, n in dense_parts(pdf, d)), np.zeros_like(v)).ravel()
+
+        for _ in range(passes):
+            y = summed(self.rows, lambda pdf, v=v: part(pdf, v)).reshape(v.shape)
+            small = np.linalg.eigh((v.T @ y + y.T @ v) / 2)
+            best = v @ small[1][:, np.argsort(-small[0])[:r]]
+            v = np.linalg.qr(y)[0]
+        sign = np.sign(best[np.abs(best).argmax(0), range(r)])
+        return best * np.where(sign == 0, 1, sign)
+
     def _pass(self):
-        v, w, l2 = self.V, self.w, self.l2
+        v, w, l2, d = self.V, self.w, self.l2, len(self.domains)
 
-        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            total, gv, gw, hv = 0.0, np.zeros_like(v), np.zeros_like(w), np.zeros_like(v)
-            for pdf in batches:
-                n = np.array(pdf["n"].tolist()).reshape(len(pdf), len(v))
+        def part(pdf):
+            total, gv, gw, hv, hw = 0.0, np.zeros_like(v), np.zeros_like(w), np.zeros_like(v), np.zeros_like(w)
+            for _, n in dense_parts(pdf, d):
                 u = solve_rows(n, v, w, l2)
-                part, _, g, h = loss_and_gradients(n, u, v, w)
+                loss, _, g, h = loss_and_gradients(n, u, v, w)
                 expected = np.exp(np.clip((u * w) @ v.T, -CLIP, CLIP))
-                total += part + l2 * float((u * u).sum())
-                gv, gw, hv = gv + g, gw + h, hv + expected.T @ ((u * w) ** 2)
-            yield pd.DataFrame({"x": [np.concatenate([[total], gv.ravel(), gw, hv.ravel()])]})
+                total += loss + l2 * float((u * u).sum())
+                gv, gw = gv + g, gw + h
+                hv, hw = hv + expected.T @ ((u * w) ** 2), hw + ((expected @ (v * v)) * u * u).sum(0)
+            return np.concatenate([[total], gv.ravel(), gw, hv.ravel(), hw])
 
-        sums = np.sum([np.array(r[0]) for r in self.rows.mapInPandas(run, "x array<double>").collect()], axis=0)  # one vector a partition
-        k = v.size
+        sums = summed(self.rows, part)
+        k, r = v.size, len(w)
         loss = float(sums[0]) + l2 * float((v * v).sum() + (w * w).sum())
-        return loss, sums[1 : 1 + k].reshape(v.shape), sums[1 + k : 1 + k + len(w)], sums[1 + k + len(w) :].reshape(v.shape)
+        gv, gw, hv, hw = np.split(sums[1:], [k, k + r, 2 * k + r])
+        return loss, gv.reshape(v.shape), gw, hv.reshape(v.shape), hw
+
+    def weights(self) -> DataFrame:
+        """``(bias_dim, weight)``."""
+        return self.rows.sparkSession.createDataFrame([(i, float(x)) for i, x in enumerate(self.w)], "bias_dim int, weight double")
 
     def phrases(self) -> DataFrame:
         """``(row, bias_dim_0, ...)``."""
@@ -110,8 +151,8 @@ class PoissonEmbedder:
 
         def run(batches):
             for pdf in batches:
-                u = solve_rows(np.array(pdf["n"].tolist()).reshape(len(pdf), len(v)), v, w, l2)
-                yield pd.concat([pdf[[row]].reset_index(drop=True), pd.DataFrame(u, columns=names)], axis=1)
+                for some, n in dense_parts(pdf, len(v)):
+                    yield pd.concat([pdf[[row]].iloc[some].reset_index(drop=True), pd.DataFrame(solve_rows(n, v, w, l2), columns=names)], axis=1)
 
         return self.rows.mapInPandas(run, f"{row} string, " + ", ".join(f"{n} double" for n in names))
 
@@ -152,16 +193,6 @@ class PoissonEmbedder:
         return out, domains, spark.createDataFrame([(j, float(x)) for j, x in enumerate([*s, *([0.0] * extra)])], "bias_dim int, singular_value double")
 
 
-def _gram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    total = None
-    for pdf in batches:
-        n = np.array(pdf["n"].tolist())
-        if len(n):
-            total = n.T @ n if total is None else total + n.T @ n
-    if total is not None:
-        yield pd.DataFrame({"g": [total.ravel()]})
-
-
 def solve_rows(n: np.ndarray, v: np.ndarray, w: np.ndarray, l2: float, steps: int = 25) -> np.ndarray:
     """The rows' vectors given V and w: damped Newton steps on a convex problem for each row, all rows at once."""
     a = v * w

@@ -6,13 +6,19 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from presslens.storage import materialize
+
+BROADCAST_NAMES = 200_000
+MAX_POINTS = 5_000
 FEATURES = ["bias_score", "polarity", "pos_tfidf", "neg_tfidf", "pos_rate", "neg_rate", "entropy"]
 
 
 def normalize_list(articles: DataFrame, key: str, names: str, mapping: DataFrame) -> DataFrame:
-    """``(key, names)`` with every name replaced by its canonical form, trimmed; unknown names stay. ``mapping(raw, canonical)`` is joined on the distinct names, so it may be large."""
+    """``(key, names)`` with every name replaced by its canonical form, trimmed; unknown names stay. ``mapping(raw, canonical)`` may be large."""
     each = articles.select(key, F.posexplode_outer(names).alias("_at", "_raw")).withColumn("_raw", F.trim("_raw"))
-    known = each.join(mapping.select(F.col("raw").alias("_raw"), "canonical"), "_raw", "left")
+    # the distinct names that the map changes: a small part, sent to all where it is measured to be small
+    changed = materialize(mapping.select(F.col("raw").alias("_raw"), "canonical").join(each.select("_raw").distinct(), "_raw", "left_semi"), "renamed")
+    known = each.join(F.broadcast(changed) if changed.count() <= BROADCAST_NAMES else changed, "_raw", "left")
     back = known.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("canonical", "_raw").alias("v")))).alias("_l"))
     return back.select(key, F.transform(F.filter("_l", lambda x: x["_at"].isNotNull()), lambda x: x["v"]).alias(names))
 
@@ -90,7 +96,9 @@ def kmeans(df: DataFrame, columns: list[str], k: int, seed: int = 42) -> DataFra
 
 
 def silhouette(df: DataFrame, key: str, columns: list[str], cluster: str = "cluster") -> DataFrame:
-    """Exact mean Euclidean silhouette of a table of domains, for which all distances are wanted: every domain meets every other once, by cluster."""
+    """Exact mean Euclidean silhouette of a table of domains, for which all distances are wanted: every domain meets every other once, by cluster. Tables of more than ``MAX_POINTS`` rows are refused."""
+    if df.limit(MAX_POINTS + 1).count() > MAX_POINTS:
+        raise ValueError(f"more than {MAX_POINTS} points")
     pts = df.select(key, cluster, F.array(*columns).alias("v"))
     other = pts.select(F.col(cluster).alias("oc"), F.struct(F.col(key).alias("k"), "v").alias("p")).groupBy("oc").agg(F.collect_list("p").alias("ps"))
     others = other.agg(F.collect_list(F.struct("oc", "ps"))).scalar()

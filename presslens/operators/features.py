@@ -161,5 +161,25 @@ def metrics(df: DataFrame, truth: str, guess: str, positive: str = "unbiased") -
     return c.select("n", "accuracy", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
 
 
+def class_report(df: DataFrame, truth: str, guess: str) -> DataFrame:
+    """``(label, support, precision, recall, f1)`` of every label that is a truth or a guess, from the counts of pairs."""
+    cells = df.select(F.col(truth).alias("t"), F.col(guess).alias("g")).groupBy("t", "g").agg(F.count("*").alias("n"))
+    none = F.lit(0).cast("bigint")
+    side = lambda label, hit, support, given: F.struct(F.col(label).alias("label"), hit.alias("hit"), support.alias("support"), given.alias("given"))
+    hit = F.when(F.col("t") == F.col("g"), F.col("n")).otherwise(none)
+    each = cells.select(F.inline(F.array(side("t", hit, F.col("n"), none), side("g", none, none, F.col("n")))))
+    sums = each.where("label is not null").groupBy("label").agg(*(F.sum(c).alias(c) for c in ("hit", "support", "given")))
+    p, r = (F.coalesce(F.try_divide(F.col("hit").cast("double"), F.col(c)), F.lit(0.0)) for c in ("given", "support"))
+    return sums.select("label", "support", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"))
+
+
+def require_columns(df: DataFrame, *names: str) -> DataFrame:
+    """The table itself; an error that lists its columns where one is missing."""
+    for name in names:
+        if name not in df.columns:
+            raise ValueError(f"no column {name!r}; there are {df.columns}")
+    return df
+
+
 def confusion(df: DataFrame, truth: str, guess: str) -> DataFrame:
     return df.groupBy(truth, guess).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from presslens.storage import materialize
+from presslens.storage import discard, materialize
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -17,9 +17,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``edges(a, b)`` -> ``(node, component)``; the component is the least node in it.
 
     Alternating large-star and small-star steps: O(log n) rounds on any graph,
-    each an aggregation with map-side combine and a join on the node, so no
-    neighbourhood is ever gathered in one task. Each round is written to shared
-    storage, so a lost executor repeats one round at most. Edges with a null
+    each an aggregation with map-side combine and a join on the node. The edges of
+    one node are gathered nowhere; those of a node with very many meet its one row
+    in a join that adaptive execution splits. Each round is written to shared
+    storage, so a lost executor repeats one round at most, and the one before is
+    deleted. Edges with a null
     end and loops are ignored; repeated edges are harmless; an empty input
     gives an empty result. Nodes without an edge are not in the result.
     """
@@ -36,7 +38,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         down = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(down, "a")
         small = small.select(F.col("b").alias("x"), "m").union(small.select(F.col("a").alias("x"), "m")).where("x <> m")
-        cur = materialize(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "cc-round")
+        last, cur = cur, materialize(small.select(F.col("x").alias("a"), F.col("m").alias("b")).distinct(), "cc-round")
+        discard(last)
         after = _state(cur)
         if after == before:
             break

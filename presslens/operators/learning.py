@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import time
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -80,8 +81,13 @@ def training_set(gold: DataFrame, weak: DataFrame, key: str = "url") -> DataFram
     return gold.unionByName(weak.join(gold.select(key), key, "left_anti"), allowMissingColumns=True)
 
 
-def extract_entities(articles: DataFrame, find: Callable[[str], list[str]] | None = None, key: str = "url", text: str = "cleantext") -> DataFrame:
-    """``(key, ner)``: sorted distinct names; without a model, runs of two or more capitalised words. A text that fails gives an empty list."""
+def extract_entities(articles: DataFrame, find: Callable[[str], list] | None = None, key: str = "url", text: str = "cleantext", kinds: tuple[str, ...] = ("PERSON", "GPE"), pronouns: Iterable[str] = ()) -> DataFrame:
+    """``(key, ner)``: sorted distinct names. A text that fails gives an empty list.
+
+    A model gives names, or pairs of name and kind, of which the wanted kinds
+    stay; pronouns are left out. Without a model, runs of two or more capitalised words.
+    """
+    pronouns = {p.casefold() for p in pronouns}
     if find is None:
         runs = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\p{Lu}[\p{L}\-]+(?: \p{Lu}[\p{L}\-]+)+"), F.lit(0))
         return articles.select(key, F.array_sort(F.array_distinct(runs)).alias("ner"))
@@ -89,7 +95,8 @@ def extract_entities(articles: DataFrame, find: Callable[[str], list[str]] | Non
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def one(t):
             try:
-                return sorted({x for x in find(t or "") if x})
+                named = [x if isinstance(x, tuple) else (x, kinds[0]) for x in find(t or "")]
+                return sorted({x for x, kind in named if x and kind in kinds and x.casefold() not in pronouns})
             except Exception:
                 return []
 
@@ -100,15 +107,16 @@ def extract_entities(articles: DataFrame, find: Callable[[str], list[str]] | Non
     return articles.select(key, text).mapInPandas(run, f"{key} {kind}, ner array<string>")
 
 
-def with_retries(call: Callable, tries: int = 3):
-    """A call repeated on errors; None when all fail."""
+def with_retries(call: Callable, tries: int = 3, wait: float = 0.0):
+    """A call repeated on errors, after ``wait`` seconds, which double each time; None when all fail."""
 
     def run(x):
-        for _ in range(tries):
+        for k in range(tries):
             try:
                 return call(x)
             except Exception:
-                continue
+                if wait and k + 1 < tries:
+                    time.sleep(wait * 2**k)
         return None
 
     return run
@@ -118,9 +126,11 @@ def entity_stances(articles: DataFrame, ask: Callable[[str], str], key: str = "u
     """``(key, entity, stance)``: sentences that mention each entity go to the model; NO_ENTITY without any, ERROR when it fails."""
     from presslens.functions import tokens as K
 
-    each = articles.select(key, F.explode("ner").alias("entity"), F.col(text).alias("_t")).where("entity is not null")
-    held = F.filter(X.sentences(F.coalesce("_t", F.lit(""))), lambda s: X.mentions(s, F.col("entity")))
-    each = each.select(key, "entity", F.array_join(K.sentence_prefix(held, cap), " ").alias("context"))
+    # sentences are chosen within the article's row, so that its text is not copied to every entity
+    sents = X.sentences(F.coalesce(text, F.lit("")))
+    names = F.filter(F.col("ner"), lambda e: e.isNotNull())
+    asked = K.bound(sents, lambda t: F.transform(names, lambda e: F.struct(e.alias("entity"), F.array_join(K.sentence_prefix(F.filter(t, lambda s: X.mentions(s, e)), cap), " ").alias("context"))))
+    each = articles.select(key, F.inline(asked))
     call = with_retries(ask)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -149,7 +159,10 @@ def text_sentiment(articles: DataFrame, ask: Callable[[str], str], key: str = "u
 
 
 def normalize_names(names: DataFrame, ask: Callable[[list[str]], str], size: int = 200, done: DataFrame | None = None) -> DataFrame:
-    """``(raw, canonical)`` of distinct names that are not done yet, in batches to a model that answers with a JSON map."""
+    """``(raw, canonical)`` of distinct names that are not done yet, in batches to a model that answers with a JSON map.
+
+    A name that the answer leaves out, or whose batch failed, comes out with a null, so that it is known as not done.
+    """
     from presslens.operators.sampling import batches as in_batches
 
     left = names.select(F.col(names.columns[0]).alias("raw")).where("raw is not null").distinct()
@@ -159,7 +172,8 @@ def normalize_names(names: DataFrame, ask: Callable[[list[str]], str], size: int
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            yield pd.DataFrame({"answer": [call(list(x)) for x in pdf["items"]]})
+            yield pd.DataFrame({"items": pdf["items"], "answer": [call(list(x)) for x in pdf["items"]]})
 
-    answers = in_batches(left, "raw", size).select("items").mapInPandas(run, "answer string")
-    return answers.select(F.explode(X.first_json_map(F.col("answer"))).alias("raw", "canonical"))
+    answers = in_batches(left, "raw", size).select("items").mapInPandas(run, "items array<string>, answer string")
+    each = answers.withColumn("m", X.first_json_map(F.col("answer"))).select("m", F.explode("items").alias("raw"))
+    return each.select("raw", F.try_element_at("m", F.trim("raw")).alias("canonical"))

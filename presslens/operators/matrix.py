@@ -60,35 +60,41 @@ def sub_grams(c, longer: int, shorter: int):
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(longer - shorter + 1)), lambda i: F.array_join(F.slice(w, i, F.lit(shorter)), " ")))
 
 
-def find_redundant(matrix: DataFrame, shorter: int, longer: int, threshold: float = 0.7, row: str = "phrase") -> DataFrame:
-    """Shorter phrases of which one longer phrase that contains them has a share of ``threshold`` of the total.
+def _compared(matrix: DataFrame, row: str, sizes=(1, 2, 3)) -> DataFrame:
+    """``(row, total, top, domains, long_total)``: the sums of each row, and the greatest total of a longer one that contains it.
 
-    An equi-join on the sub-phrases of the longer side; no pair is formed that shares none.
+    One aggregation over the rows themselves and the sub-phrases of the longer
+    ones: no pair is formed, and only sub-phrases are sent beside the rows.
     """
-    t = matrix.groupBy(row).agg(F.sum("n").alias("total")).withColumn("size", K.gram_size(F.col(row)))
-    big = t.where(F.col("size") == longer).select(F.explode(sub_grams(F.col(row), longer, shorter)).alias(row), F.col("total").alias("long_total"))
-    best = big.groupBy(row).agg(F.max("long_total").alias("long_total"))
-    small = t.where(F.col("size") == shorter).select(row, "total")
-    return small.join(best, row).where(F.col("long_total") >= threshold * F.col("total")).select(row)
+    nothing = F.lit(None).cast("bigint")
+    size, parts = K.gram_size(F.col(row)), F.array().cast("array<string>")
+    for longer in sizes:
+        shorter = [s for s in sizes if s < longer]
+        if shorter:
+            parts = F.when(size == longer, F.concat(*(sub_grams(F.col(row), longer, s) for s in shorter))).otherwise(parts)
+    own = F.struct(F.col(row).alias("_row"), "total", "top", "domains", nothing.alias("long_total"))
+    held = F.transform(parts, lambda x: F.struct(x.alias("_row"), nothing.alias("total"), nothing.alias("top"), nothing.alias("domains"), F.col("total").alias("long_total")))
+    own = totals(matrix, row).select(F.inline(F.concat(F.array(own), held))).withColumnRenamed("_row", row)
+    merged = own.groupBy(row).agg(*(F.max(c).alias(c) for c in ("total", "top", "domains", "long_total")))
+    return merged.where("total is not null")
+
+
+def find_redundant(matrix: DataFrame, shorter: int, longer: int, threshold: float = 0.7, row: str = "phrase") -> DataFrame:
+    """Shorter phrases of which one longer phrase that contains them has a share of ``threshold`` of the total."""
+    c = _compared(matrix.where(K.gram_size(F.col(row)).isin(shorter, longer)), row, (shorter, longer))
+    return c.where((K.gram_size(F.col(row)) == shorter) & (F.col("long_total") >= threshold * F.col("total"))).select(row)
 
 
 def redundant(matrix: DataFrame, threshold: float = 0.7, row: str = "phrase") -> DataFrame:
-    """Phrases made redundant by longer ones; all three comparisons are against the same unpruned matrix, so nothing cascades."""
-    pairs = [(1, 2), (1, 3), (2, 3)]
-    out = None
-    for s, n in pairs:
-        part = find_redundant(matrix, s, n, threshold, row)
-        out = part if out is None else out.union(part)
-    return out.distinct()
+    """Phrases made redundant by longer ones; all comparisons are against the same unpruned matrix, so nothing cascades."""
+    return _compared(matrix, row).where(F.col("long_total") >= threshold * F.col("total")).select(row)
 
 
 def prune(matrix: DataFrame, redundancy: float = 0.7, dominance: float = 0.9, ubiquity: float = 0.9, row: str = "phrase") -> DataFrame:
-    """Without redundant, then dominated, then ubiquitous rows."""
+    """Without redundant, then dominated, then ubiquitous rows: whole rows are dropped, so all are told from the same sums."""
     width = domain_count(matrix)
-    kept = matrix.join(redundant(matrix, redundancy, row), row, "left_anti")
-    t = totals(kept, row)
-    good = t.where((F.col("top") / F.col("total") <= dominance) & (F.col("domains") / width.scalar() <= ubiquity)).select(row)
-    return kept.join(good, row, "left_semi")
+    stays = F.coalesce(F.col("long_total") < redundancy * F.col("total"), F.lit(True)) & (F.col("top") / F.col("total") <= dominance) & (F.col("domains") / width.scalar() <= ubiquity)
+    return matrix.join(_compared(matrix, row).where(stays).select(row), row, "left_semi")
 
 
 def pivot_matrix(matrix: DataFrame, row: str, domains: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from presslens.storage import materialize
+
 
 def hash_order(key: Column, seed: int) -> Column:
     """A fixed pseudo-random order of keys, the same in any engine with MD5."""
@@ -29,7 +31,8 @@ def stratified_split(df: DataFrame, label: str, key: str, share: float = 0.1, se
 
 def row_index(df: DataFrame, key: str) -> DataFrame:
     """Adds ``rn``, the place in the order of the key from 1, without a global sort in one task: partitions are ranges, their sizes are summed."""
-    ranged = df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id())
+    # written, as ranges are drawn anew whenever the plan runs
+    ranged = materialize(df.repartitionByRange(F.col(key)).sortWithinPartitions(key).withColumn("_pid", F.spark_partition_id()), "ranged")
     local = ranged.withColumn("_local", F.row_number().over(Window.partitionBy("_pid").orderBy(key)))
     sizes = ranged.groupBy("_pid").agg(F.count("*").alias("_n"))
     # one row a partition
@@ -52,7 +55,7 @@ def batches(df: DataFrame, key: str, size: int = 200) -> DataFrame:
 
 
 def quantile_bins(df: DataFrame, column: str, bins: int = 4) -> DataFrame:
-    """Adds ``<column>_bin`` (0 to bins - 1) by exact quantiles; intervals are closed above; null stays null."""
+    """Adds ``<column>_bin`` (0 to bins - 1) by exact quantiles; a value on a cut belongs to the bin above; null stays null."""
     cuts = df.agg(F.percentile(column, F.array(*(F.lit(i / bins) for i in range(1, bins)))).alias("c"))
-    below = F.size(F.filter("_cuts", lambda x: F.col(column) > x))
+    below = F.size(F.filter("_cuts", lambda x: F.col(column) >= x))
     return df.withColumn("_cuts", cuts.scalar()).withColumn(f"{column}_bin", F.when(F.col(column).isNotNull(), below)).drop("_cuts")

@@ -59,14 +59,13 @@ def class_tf_idf(counts: DataFrame, group: str, term: str = "term", bm25: bool =
     """``(group, term, score)`` from counts ``(group, term, tf)``: term share of the class (its root, if frequent words are reduced) times idf.
 
     A = mean words of a class, f = total of the term; idf is ln(1 + (A - f + 0.5) / (f + 0.5)) with ``bm25``, else ln(1 + A / f).
+    Sums of a class are one row a class, joined; a term has at most one row a class.
     """
-    per_class = F.sum("tf").over(Window.partitionBy(group))
+    classes = counts.groupBy(group).agg(F.sum("tf").alias("w"))
     f = F.sum("tf").over(Window.partitionBy(term))
-    classes = counts.groupBy(group).agg(F.sum("tf").alias("w")).agg(F.avg("w"))
-    a = classes.scalar()
-    share = F.col("tf") / per_class
+    share = F.col("tf") / F.col("w")
     share = F.sqrt(share) if reduce_frequent else share
-    # a term more frequent than a mean class has a bm25 idf below ln(1 - ...); it counts as nothing
-    scored = counts.select(group, term, share.alias("share"), f.alias("f")).withColumn("a", a)
-    idf = F.greatest(1 + (F.col("a") - F.col("f") + 0.5) / (F.col("f") + 0.5), F.lit(1e-12)) if bm25 else 1 + F.col("a") / F.col("f")
+    scored = counts.withColumn("f", f).join(classes, group).select(group, term, share.alias("share"), "f").withColumn("a", classes.agg(F.avg("w")).scalar())
+    # 1 + (A - f + 0.5) / (f + 0.5), in one fraction
+    idf = (F.col("a") + 1) / (F.col("f") + 0.5) if bm25 else 1 + F.col("a") / F.col("f")
     return scored.select(group, term, (F.col("share") * F.ln(idf)).alias("score"))

@@ -1,8 +1,8 @@
 """Topics from document vectors: reduction, clusters, words and coherence.
 
 The reference's reducer, density clusterer and sentence encoder are not
-available; principal components, bisecting k-means with a least cluster size,
-and given vectors stand in for them, and no equality of topics is claimed.
+available; principal components, k-means with a least cluster size, and given
+vectors stand in for them, and no equality of topics is claimed.
 """
 
 from __future__ import annotations
@@ -77,3 +77,70 @@ def npmi_coherence(words: DataFrame, doc_terms: DataFrame) -> DataFrame:
     p = pairs.join(df.select(F.col("term").alias("a"), F.col("df").alias("n_a")), "a").join(df.select(F.col("term").alias("b"), F.col("df").alias("n_b")), "b").withColumn("n", n.scalar())
     npmi = F.when(F.col("n_ab").isNull(), -1.0).when(F.col("n_ab") == F.col("n"), 1.0).otherwise(F.ln(F.col("n_ab") * F.col("n") / (F.col("n_a") * F.col("n_b"))) / -F.ln(F.col("n_ab") / F.col("n")))
     return p.groupBy("topic").agg(F.avg(npmi).alias("coherence"))
+
+
+WINDOW = 110
+
+
+def window_counts(docs: DataFrame, words: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(topic, a, b, n)``: sliding windows of the documents that hold both words of a topic (a = b: the word itself), and their number as topic null.
+
+    ``words(topic, term)`` are few (a dozen for each topic). A text of fewer words than a window is one window.
+    """
+    listed: dict[int, list[str]] = {}
+    for r in words.select("topic", "term").distinct().orderBy("topic", "term").limit(MAX_WORDS + 1).collect():
+        listed.setdefault(r["topic"], []).append(r["term"])
+    if sum(map(len, listed.values())) > MAX_WORDS:
+        raise ValueError(f"more than {MAX_WORDS} words")
+    every = {w: i for i, w in enumerate(sorted({w for ws in listed.values() for w in ws}))}
+
+    def run(batches):
+        import re
+
+        import numpy as np
+
+        total, n = {t: np.zeros((len(ws), len(ws)), np.int64) for t, ws in listed.items()}, 0
+        word = re.compile(r"[^\W\d_]+")
+        for pdf in batches:
+            for t in pdf[text]:
+                got = [every.get(w, -1) for w in word.findall((t or "").lower())]
+                if not got:
+                    continue
+                width = min(window, len(got))
+                starts = len(got) - width + 1
+                n += starts
+                seen = {}
+                for w in set(got) - {-1}:
+                    upto = np.concatenate([[0], np.cumsum(np.array(got) == w)])
+                    seen[w] = upto[width:] > upto[:starts]
+                for topic, ws in listed.items():
+                    on = [(i, seen[every[w]]) for i, w in enumerate(ws) if every[w] in seen]
+                    if on:
+                        at, flags = [i for i, _ in on], np.array([f for _, f in on], np.int64)
+                        total[topic][np.ix_(at, at)] += flags @ flags.T
+        rows = [(topic, ws[i], ws[j], int(total[topic][i, j])) for topic, ws in listed.items() for i in range(len(ws)) for j in range(len(ws))]
+        yield pd.DataFrame([*rows, (None, None, None, n)], columns=["topic", "a", "b", "n"])
+
+    return docs.select(text).mapInPandas(run, "topic int, a string, b string, n bigint").groupBy("topic", "a", "b").agg(F.sum("n").alias("n"))
+
+
+MAX_WORDS = 5000
+
+
+def cv_coherence(words: DataFrame, docs: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+    """``(topic, coherence)``: c_v, the mean cosine of each word's vector of normalized PMI with the sum of its topic's vectors, over sliding windows."""
+    import numpy as np
+
+    counts = window_counts(docs, words, text, window).toPandas()  # bounded by the words
+    n = float(counts.loc[counts["topic"].isna(), "n"].sum()) or 1.0
+    out = []
+    for topic, part in counts[counts["topic"].notna()].groupby("topic"):
+        p = part.pivot(index="a", columns="b", values="n").to_numpy(float) / n
+        own = np.diag(p)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            npmi = np.log((p + 1e-12) / np.outer(own, own)) / -np.log(p + 1e-12)
+        npmi = np.where(np.outer(own, own) > 0, npmi, 0.0)
+        all_of = npmi.sum(0)
+        norm = np.linalg.norm(npmi, axis=1) * np.linalg.norm(all_of)
+        out.append((int(topic), float(np.where(norm > 0, npmi @ all_of / np.where(norm > 0, norm, 1), 0).mean())))
+    return docs.sparkSession.createDataFrame(out, "topic int, coherence double")

@@ -8,19 +8,65 @@ from presslens.functions import text as X
 from presslens.functions import tokens as K
 from presslens.operators import features as A
 from presslens.operators import scores as S
+from presslens.operators import topics as T
+from presslens.operators import vocabulary as V
 from presslens.session import norm_source, table
-from presslens.storage import materialize
+from presslens.sources import io
+from presslens.storage import materialize, once
 
 TOPICS = "romanian_political_articles_v2_nlp_with_topics"
 PROBS = [f"topic_{i}" for i in range(8)]
-BIAS_WORDS = ["reforma", "bugetul", "guvernul", "anunță", "rămâne"]
+# Our own list of words that tell nothing about a source; the original's is a parameter.
+IGNORED = "consilier ministrul deputatul senatorul primarul premierul economistul juristul aproximativ potrivit".split()
 
 
 def _articles(spark, sf_dir):
     """One row a url: the greatest of each column, topic shares as one array."""
-    t = table(spark, sf_dir, TOPICS).where("url is not null")
-    one = t.groupBy("url").agg(F.max(norm_source(F.col("source_domain"))).alias("source"), F.max("maintext").alias("maintext"), F.max("cleantext").alias("cleantext"), F.max("ner").alias("ner"), F.max("stance").alias("stance"), F.max(F.array(*PROBS)).alias("topic_probs"), F.max("topic").alias("topic"))
-    return one.withColumn("bias_words", F.array(*map(F.lit, BIAS_WORDS)))
+    t = table(spark, sf_dir, TOPICS)
+    return io.one_row(t.select("url", norm_source(F.col("source_domain")).alias("source"), "maintext", "cleantext", "ner", "stance", F.array(*PROBS).alias("topic_probs"), "topic"))
+
+
+def _vectors(spark, sf_dir):
+    """(url, source, topic, term, tf) of the vectorizer's vocabulary, written once a session."""
+
+    def build():
+        a = _articles(spark, sf_dir).select("url", "source", "topic", "cleantext")
+        return V.vectorize(a, "url", "cleantext", (1, 2), 5, 0.85, K.ROMANIAN_STOP_WORDS).join(a.drop("cleantext"), "url")
+
+    return once(spark, (sf_dir, "vectors"), build)
+
+
+def _topic_scores(counts):
+    """BM25 class scores of the topics' terms, rounded so that ties are ties everywhere."""
+    by_topic = counts.where("topic >= 0").groupBy("topic", "term").agg(F.sum("tf").alias("tf"))
+    return S.class_tf_idf(by_topic, "topic").withColumn("score", F.round("score", 9))
+
+
+def _bias_terms(spark, sf_dir):
+    """Terms of articles that are words of topics, without those a longer one makes redundant."""
+    counts = _vectors(spark, sf_dir)
+    return once(spark, (sf_dir, "bias-terms"), lambda: V.bias_terms(counts, T.topic_words(_topic_scores(counts), 15)))
+
+
+def _with_words(spark, sf_dir):
+    return _articles(spark, sf_dir).join(V.article_words(_bias_terms(spark, sf_dir), "url"), "url", "left")
+
+
+def article_bias_words(spark, sf_dir):
+    """The bias words of each article, before the ignore list."""
+    return V.article_words(_bias_terms(spark, sf_dir), "url").select("url", F.array_join("bias_words", "|").alias("bias_words"))
+
+
+def bias_words_strict(spark, sf_dir):
+    """The same with the purge that had no effect."""
+    counts = _vectors(spark, sf_dir)
+    kept = V.bias_terms(counts, T.topic_words(_topic_scores(counts), 15), strict_reference=True)
+    return kept.groupBy("term").agg(F.count("*").alias("articles"), F.sum("tf").alias("n"))
+
+
+def bm25_topic_words(spark, sf_dir):
+    """The 15 best words of each topic with their BM25 class scores."""
+    return T.topic_words(_topic_scores(_vectors(spark, sf_dir)), 15).select("topic", "term", "rank", "score")
 
 
 def _biased(spark, sf_dir):
@@ -28,8 +74,8 @@ def _biased(spark, sf_dir):
 
 
 def _features(spark, sf_dir):
-    a = _articles(spark, sf_dir)
-    center = A.centroid(a.join(_biased(spark, sf_dir), "source", "left_semi"), "topic_probs")
+    a = _with_words(spark, sf_dir)
+    center = A.centroid(_articles(spark, sf_dir).join(_biased(spark, sf_dir), "source", "left_semi"), "topic_probs")
     return A.article_features(a, _biased(spark, sf_dir), center)
 
 
@@ -48,7 +94,7 @@ def stance_features(spark, sf_dir):
 
 
 def lexical_features(spark, sf_dir):
-    a = _articles(spark, sf_dir).withColumn("outside", F.regexp_replace(F.coalesce("maintext", F.lit("")), X.QUOTATION, ""))
+    a = _with_words(spark, sf_dir).withColumn("outside", F.regexp_replace(F.coalesce("maintext", F.lit("")), X.QUOTATION, ""))
     return _rounded(a.select("url", X.word_count(F.col("cleantext")).cast("bigint").alias("text_length"), X.avg_sentence_length(F.coalesce("cleantext", F.lit(""))).alias("avg_sentence_length"), X.count_of(F.col("outside"), "?").cast("bigint").alias("questions"), X.count_of(F.col("outside"), "!").cast("bigint").alias("exclaims"), A.bias_word_count(F.col("cleantext"), F.col("bias_words")).cast("bigint").alias("bias_words")))
 
 
@@ -96,7 +142,7 @@ def parsed_answers(spark, sf_dir):
 
 
 def parsed_stances(spark, sf_dir):
-    """Stance words found in the articles' first 200 characters, as in an answer."""
+    """Stance words found in answers, made here of the stored stances."""
     a = _articles(spark, sf_dir).where("stance is not null").select("url", F.explode("stance").alias("s"))
     answer = F.concat(F.lit("Răspuns: "), F.lower(F.coalesce("s.stance", F.lit("?"))), F.lit("."))
     return a.select("url", F.col("s.entity").alias("entity"), X.stance_word(answer).alias("stance"))
@@ -120,12 +166,15 @@ def majority_vote(spark, sf_dir):
     return A.majority_vote(_matrix(spark, sf_dir), list(A.LABELLERS)).select("url", A.label_name(F.col("label")).alias("label"))
 
 
-def gold_eval_metrics(spark, sf_dir):
-    """Labels against the known bias of their sources."""
+def _judged(spark, sf_dir):
+    """Labels beside the known bias of their sources."""
     known = table(spark, sf_dir, "known_source_bias").select(norm_source(F.col("source_domain")).alias("source"), F.col("label").alias("gold"))
     labels = table(spark, sf_dir, "article_labels").where("url is not null and snorkel_label in ('biased', 'unbiased')").select("url", "snorkel_label").distinct()
-    both = labels.join(_articles(spark, sf_dir).select("url", "source"), "url").join(known, "source")
-    return _rounded(A.metrics(both, "gold", "snorkel_label"))
+    return labels.join(_articles(spark, sf_dir).select("url", "source"), "url").join(known, "source")
+
+
+def gold_eval_metrics(spark, sf_dir):
+    return _rounded(A.metrics(_judged(spark, sf_dir), "gold", "snorkel_label"))
 
 
 def label_histogram(spark, sf_dir):
@@ -145,11 +194,17 @@ def ctfidf_topic_words(spark, sf_dir):
 
 
 def source_bias_words(spark, sf_dir):
-    """Occurrences of each topic word by source."""
-    a = _articles(spark, sf_dir).where("source is not null and cleantext is not null")
-    words = F.regexp_extract_all(F.lower("cleantext"), F.lit(r"\p{L}+"), F.lit(0))
-    chosen = F.filter(words, lambda w: w.isin(*BIAS_WORDS))
-    return a.select("source", F.explode(chosen).alias("word")).groupBy("source", "word").agg(F.count("*").alias("n"))
+    """Occurrences of each bias word by source, without the ignored ones."""
+    return V.source_words(_bias_terms(spark, sf_dir), IGNORED)
+
+
+def class_report(spark, sf_dir):
+    """Precision, recall and support of each label against the known bias of the sources."""
+    return _rounded(A.class_report(_judged(spark, sf_dir), "gold", "snorkel_label"))
+
+
+def confusion(spark, sf_dir):
+    return A.confusion(_judged(spark, sf_dir), "gold", "snorkel_label")
 
 
 def centroid_cosine(spark, sf_dir):
@@ -162,23 +217,39 @@ def centroid_cosine(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (article_features, stance_features, lexical_features, topic_entropy, topic_centroid, topic_similarity, topic_counts, topic_argmax, topics_tall, parsed_answers, parsed_stances, label_matrix, lf_summary, majority_vote, gold_eval_metrics, label_histogram, ctfidf_topic_words, source_bias_words, centroid_cosine)
+    for f in (article_features, stance_features, lexical_features, topic_entropy, topic_centroid, topic_similarity, topic_counts, topic_argmax, topics_tall, parsed_answers, parsed_stances, label_matrix, lf_summary, majority_vote, gold_eval_metrics, label_histogram, ctfidf_topic_words, article_bias_words, bias_words_strict, bm25_topic_words, source_bias_words, class_report, confusion, centroid_cosine)
 }
 _P = "[" + ", ".join(PROBS) + "]"
 _A = rf"""
 WITH a AS (SELECT url, max(nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '')) AS source, max(maintext) AS maintext, max(cleantext) AS cleantext, max(ner) AS ner, max(stance) AS stance, max({_P}) AS p, max(topic) AS topic
   FROM {TOPICS} WHERE url IS NOT NULL GROUP BY url),
 b AS (SELECT nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '') AS source FROM known_source_bias WHERE label = 'biased')"""
+_WORDS = rf""", wl AS (SELECT url, source, topic, list_filter(regexp_extract_all(lower(cleantext), '\p{{L}}+'), lambda x: NOT list_contains({"[" + ", ".join("'" + w + "'" for w in K.ROMANIAN_STOP_WORDS) + "]"}, x)) AS w FROM a WHERE cleantext IS NOT NULL),
+wo AS (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM wl),
+wc AS (SELECT url, any_value(source) AS source, any_value(topic) AS topic, term, count(*) AS tf FROM (SELECT url, source, topic, w[i] AS term FROM wo UNION ALL SELECT url, source, topic, w[i] || ' ' || w[i + 1] FROM wo WHERE i < len(w)) GROUP BY url, term),
+wv AS (SELECT term FROM wc GROUP BY term HAVING count(*) >= 5 AND count(*) <= 0.85::DOUBLE * (SELECT count(*) FROM wl)),
+wx AS (SELECT topic, term, sum(tf) AS tf FROM wc SEMI JOIN wv USING (term) WHERE topic >= 0 GROUP BY topic, term),
+ws AS (SELECT topic, term, round(sqrt(tf / sum(tf) OVER (PARTITION BY topic)) * ln(((SELECT avg(n) FROM (SELECT sum(tf) AS n FROM wx GROUP BY topic)) + 1) / (sum(tf) OVER (PARTITION BY term) + 0.5)), 9) AS score FROM wx),
+ww AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY score DESC, term) AS rank FROM ws) WHERE rank <= 15),
+wk AS (SELECT wc.* FROM wc SEMI JOIN ww USING (term)),
+wn AS (SELECT term, sum(tf) AS total FROM wk WHERE source IS NOT NULL GROUP BY term),
+wr AS (SELECT DISTINCT s.term FROM wn s JOIN (SELECT unnest(string_split(term, ' ')) AS term, total FROM wn WHERE contains(term, ' ')) l ON l.term = s.term WHERE NOT contains(s.term, ' ') AND l.total >= 0.5::DOUBLE * s.total),
+wb AS (SELECT wk.* FROM wk ANTI JOIN wr USING (term)),
+wa AS (SELECT url, list_sort(list(DISTINCT term)) AS bias_words FROM wb GROUP BY url)"""
+_HITS = "coalesce(list_sum(list_transform(bias_words, lambda b: (length(t) - length(replace(t, b, ''))) // length(b))), 0)"
 _C = _A + ", e AS (SELECT i, avg(p[i]) AS x FROM a, range(1, 9) AS r(i) WHERE source IN (SELECT source FROM b) GROUP BY i), c AS (SELECT list(x ORDER BY i) AS c FROM e)"
 _STOP = "[" + ", ".join("'" + w + "'" for w in K.ROMANIAN_STOP_WORDS) + "]"
 _N = "len(list_filter(stance, lambda s: upper(s.stance) = '{}'))"
 _SENT = _A + ", s AS (SELECT url, CASE WHEN topic < 0 THEN 'unknown' WHEN topic % 3 = 0 THEN 'pozitiv' WHEN topic % 3 = 1 THEN 'negativ' WHEN topic % 3 = 2 THEN 'neutru' END AS text_sentiment, CASE WHEN topic IS NOT NULL THEN ('0.' || (70 + topic * 4))::DOUBLE END AS sentiment_confidence FROM a)"
 ORACLES = {
     "stance_features": _A + f" SELECT url, coalesce(len(ner), 0) AS entity_count, round(coalesce(abs({_N.format('POZITIV')} - {_N.format('NEGATIV')}) / nullif(len(stance), 0), 0), 6) AS stance_polarity, round(coalesce({_N.format('NEGATIV')} / nullif(len(stance), 0), 0), 6) AS negative, round(coalesce({_N.format('POZITIV')} / nullif(len(stance), 0), 0), 6) AS positive FROM a",
-    "lexical_features": _A + r""", o AS (SELECT *, regexp_replace(coalesce(maintext, ''), '["''„”‘’«»]{1,10}[^"''„”‘’«»]{1,1000}?["''„”‘’«»]{1,10}', '', 'gs') AS q, lower(coalesce(cleantext, '')) AS t,
-  list_filter(string_split(coalesce(cleantext, ''), '.'), lambda x: regexp_matches(x, '[^\s]')) AS z FROM a)
+    "lexical_features": _A + _WORDS + r""", o AS (SELECT *, regexp_replace(coalesce(maintext, ''), '["''„”‘’«»]{1,10}[^"''„”‘’«»]{1,1000}?["''„”‘’«»]{1,10}', '', 'gs') AS q, lower(coalesce(cleantext, '')) AS t,
+  list_filter(string_split(coalesce(cleantext, ''), '.'), lambda x: regexp_matches(x, '[^\s]')) AS z FROM a LEFT JOIN wa USING (url))
 SELECT url, coalesce(len(regexp_extract_all(cleantext, '[^\s]+')), 0) AS text_length, round(coalesce(list_sum(list_transform(z, lambda x: len(regexp_extract_all(x, '[^\s]+')))) / nullif(len(z), 0), 0), 6) AS avg_sentence_length,
-  (length(q) - length(replace(q, '?', '')))::BIGINT AS questions, (length(q) - length(replace(q, '!', '')))::BIGINT AS exclaims, (""" + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in BIAS_WORDS) + ")::BIGINT AS bias_words FROM o",
+  (length(q) - length(replace(q, '?', '')))::BIGINT AS questions, (length(q) - length(replace(q, '!', '')))::BIGINT AS exclaims, """ + _HITS + "::BIGINT AS bias_words FROM o",
+    "article_bias_words": _A + _WORDS + " SELECT url, array_to_string(bias_words, '|') AS bias_words FROM wa",
+    "bias_words_strict": _A + _WORDS + " SELECT term, count(*) AS articles, sum(tf)::BIGINT AS n FROM wk GROUP BY term",
+    "bm25_topic_words": _A + _WORDS + " SELECT topic, term, rank, score FROM ww",
     "topic_entropy": _A + " SELECT url, round(-coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))), 0), 6) AS topic_entropy FROM a",
     "topic_centroid": _C + " SELECT i - 1 AS topic, round(x, 6) AS share FROM e",
     "topic_similarity": _C + " SELECT url, round(coalesce(list_dot_product(p, c) / nullif(sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(c, c)), 0), 0), 6) AS similarity FROM a, c",
@@ -196,7 +267,7 @@ SELECT n, round(accuracy, 6) AS accuracy, round(p, 6) AS precision, round(r, 6)
 t AS (SELECT topic, term, count(*) AS tf FROM w WHERE NOT list_contains({_STOP}, term) GROUP BY topic, term),
 x AS (SELECT *, sum(tf) OVER (PARTITION BY topic) AS c, sum(tf) OVER (PARTITION BY term) AS f FROM t)
 SELECT topic, term, round(sqrt(tf / c) * ln(1 + (SELECT avg(n) FROM (SELECT sum(tf) AS n FROM t GROUP BY topic)) / f), 6) AS score FROM x""",
-    "source_bias_words": _A + r", w AS (SELECT source, unnest(regexp_extract_all(lower(cleantext), '\p{L}+')) AS word FROM a WHERE source IS NOT NULL AND cleantext IS NOT NULL) SELECT source, word, count(*) AS n FROM w WHERE word IN (" + ", ".join(f"'{w}'" for w in BIAS_WORDS) + ") GROUP BY source, word",
+    "source_bias_words": _A + _WORDS + " SELECT source, term AS word, sum(tf)::BIGINT AS n FROM wb WHERE source IS NOT NULL AND term NOT IN (" + ", ".join(f"'{w}'" for w in IGNORED) + ") GROUP BY source, term",
     "centroid_cosine": "WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), x AS (SELECT label, i, avg(v[i]) AS x FROM e, range(1, 65) AS r(i) GROUP BY label, i), c AS (SELECT label, list(x ORDER BY i) AS c FROM x GROUP BY label) SELECT vec_id, round(list_dot_product(v, c) / (sqrt(list_dot_product(v, v)) * sqrt(list_dot_product(c, c))), 5) AS cosine FROM e JOIN c USING (label)",
     "parsed_answers": _SENT + " SELECT url, coalesce(text_sentiment, 'unknown') AS text_sentiment, coalesce(sentiment_confidence, 0) AS sentiment_confidence FROM s",
 }
@@ -212,14 +283,14 @@ def _in(words):
 
 _F = (
     _C
-    + rf""", o AS (SELECT a.*, c.c, regexp_replace(coalesce(maintext, ''), '{_QUOTATION}', '', 'gs') AS q, lower(coalesce(cleantext, '')) AS t,
-  list_filter(string_split(coalesce(cleantext, ''), '.'), lambda x: regexp_matches(x, '[^\s]')) AS z FROM a, c),
+    + _WORDS
+    + rf""", o AS (SELECT a.*, bias_words, c.c, regexp_replace(coalesce(maintext, ''), '{_QUOTATION}', '', 'gs') AS q, lower(coalesce(cleantext, '')) AS t,
+  list_filter(string_split(coalesce(cleantext, ''), '.'), lambda x: regexp_matches(x, '[^\s]')) AS z FROM a LEFT JOIN wa USING (url), c),
 f0 AS (SELECT url, coalesce(len(regexp_extract_all(cleantext, '[^\s]+')), 0)::INT AS text_length, coalesce(list_sum(list_transform(z, lambda x: len(regexp_extract_all(x, '[^\s]+')))) / nullif(len(z), 0), 0) AS avg_sentence_length,
   coalesce(len(ner), 0)::INT AS entity_count, """
     + f"coalesce(abs({_N.format('POZITIV')} - {_N.format('NEGATIV')}) / nullif(len(stance), 0), 0) AS stance_polarity, coalesce({_N.format('NEGATIV')} / nullif(len(stance), 0), 0) AS negative_stance_polarity, coalesce({_N.format('POZITIV')} / nullif(len(stance), 0), 0) AS positive_stance_polarity, "
-    + f"{_in(A.CONDITIONAL)}::INT AS cond_mood_count, (length(q) - length(replace(q, '?', '')))::INT AS question_count, (length(q) - length(replace(q, '!', '')))::INT AS exclaim_count, {_in(A.FIRST_PERSON)}::INT AS first_pronouns, {_in(A.SECOND_PERSON)}::INT AS second_pronouns, ("
-    + " + ".join(f"(length(t) - length(replace(t, '{w}', ''))) // {len(w)}" for w in BIAS_WORDS)
-    + ")::INT AS bias_word_count, CASE WHEN source IN (SELECT source FROM b) THEN 1 ELSE 0 END AS source_known_biased, coalesce(list_dot_product(p, c) / nullif(sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(c, c)), 0), 0) AS topic_sim_bias, -coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))), 0) AS topic_entropy FROM o), "
+    + f"{_in(A.CONDITIONAL)}::INT AS cond_mood_count, (length(q) - length(replace(q, '?', '')))::INT AS question_count, (length(q) - length(replace(q, '!', '')))::INT AS exclaim_count, {_in(A.FIRST_PERSON)}::INT AS first_pronouns, {_in(A.SECOND_PERSON)}::INT AS second_pronouns, {_HITS}"
+    + "::INT AS bias_word_count, CASE WHEN source IN (SELECT source FROM b) THEN 1 ELSE 0 END AS source_known_biased, coalesce(list_dot_product(p, c) / nullif(sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(c, c)), 0), 0) AS topic_sim_bias, -coalesce(list_sum(list_transform(list_filter(p, lambda x: x > 0), lambda x: x * log2(x))), 0) AS topic_entropy FROM o), "
     + "f AS (SELECT *, coalesce(bias_word_count / nullif(text_length, 0), 0) AS bias_word_ratio FROM f0)"
 )
 _VOTES = {
@@ -233,7 +304,19 @@ _L = _F + _SENT.removeprefix(_A).replace(", s AS", ", s AS", 1) + ", l AS (SELEC
 _ALL = "[" + ", ".join(_VOTES) + "]"
 _FEATURE_COLUMNS = "url text_length entity_count cond_mood_count question_count exclaim_count first_pronouns second_pronouns bias_word_count source_known_biased".split()
 _FEATURE_SHARES = "avg_sentence_length stance_polarity negative_stance_polarity positive_stance_polarity bias_word_ratio topic_sim_bias topic_entropy".split()
+_BINS = _F + """, h AS (SELECT url, round(coalesce(bias_word_ratio, 0), 9) AS x, round(coalesce(topic_entropy, 0), 9) AS y FROM f),
+qx AS (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS q, quantile_cont(y, [0.25, 0.5, 0.75]) AS r FROM h),
+cells AS (SELECT url, (x >= q[1])::INT + (x >= q[2])::INT + (x >= q[3])::INT AS bx, (y >= r[1])::INT + (y >= r[2])::INT + (y >= r[3])::INT AS by_ FROM h, qx),
+picked AS (SELECT url FROM (SELECT url, row_number() OVER (PARTITION BY source ORDER BY md5('42:' || url), url) AS n FROM a WHERE source IS NOT NULL) WHERE n <= 4
+  UNION SELECT url FROM (SELECT url, row_number() OVER (PARTITION BY bx, by_ ORDER BY md5('42:' || url), url) AS n FROM cells) WHERE n <= 2)"""
+_JUDGED = _A + r""", l AS (SELECT DISTINCT url, snorkel_label AS g FROM article_labels WHERE url IS NOT NULL AND snorkel_label IN ('biased', 'unbiased')),
+j AS (SELECT k.label AS t, g FROM l JOIN a USING (url) JOIN (SELECT nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '') AS source, label FROM known_source_bias) k ON k.source = a.source)"""
 ORACLES |= {
+    "template_sample": _BINS + " SELECT url, 'abstain' AS label FROM picked ORDER BY md5('42:' || url), url LIMIT 100",
+    "confusion": _JUDGED + " SELECT t AS gold, g AS snorkel_label, count(*) AS n FROM j GROUP BY t, g",
+    "class_report": _JUDGED + """, k AS (SELECT label, (SELECT count(*) FROM j WHERE t = label) AS support, (SELECT count(*) FROM j WHERE g = label) AS given, (SELECT count(*) FROM j WHERE g = label AND t = label) AS hit FROM (SELECT t AS label FROM j UNION SELECT g FROM j)),
+r AS (SELECT *, coalesce(hit / nullif(given, 0), 0) AS p, coalesce(hit / nullif(support, 0), 0) AS c FROM k)
+SELECT label, support, round(p, 6) AS precision, round(c, 6) AS recall, round(coalesce(2 * p * c / nullif(p + c, 0), 0), 6) AS f1 FROM r""",
     "article_features": _F + " SELECT " + ", ".join(_FEATURE_COLUMNS) + ", " + ", ".join(f"round({c}, 6) AS {c}" for c in _FEATURE_SHARES) + " FROM f",
     "label_matrix": _L + " SELECT * FROM l",
     "majority_vote": _L + f", v AS (SELECT url, len(list_filter({_ALL}, lambda x: x = 0)) AS z, len(list_filter({_ALL}, lambda x: x = 1)) AS o FROM l) SELECT url, CASE WHEN z > o THEN 'biased' WHEN o > z THEN 'unbiased' ELSE 'abstain' END AS label FROM v",

@@ -111,6 +111,34 @@ def silhouette_by_k(spark, sf_dir):
     return E.best_clusters(pcs, "domain", ["PC1", "PC2"])[1]
 
 
+def pca_shares(spark, sf_dir):
+    """Explained variance of the two components."""
+    shares = E.pca(_standard(spark, sf_dir), E.FEATURES)[1]
+    return spark.createDataFrame([(i + 1, float(x)) for i, x in enumerate(shares)], "component int, share double")
+
+
+def cluster_rules(spark, sf_dir):
+    """What components and clusters must keep."""
+    pcs, shares = E.pca(_standard(spark, sf_dir), E.FEATURES)
+    pcs = materialize(pcs.select("domain", "PC1", "PC2"), "pcs")
+    made, scores = E.best_clusters(pcs, "domain", ["PC1", "PC2"])
+    made = materialize(made.select("domain", "PC1", "PC2", "cluster"), "made")
+    v = pcs.agg(F.var_pop("PC1"), F.var_pop("PC2"), F.covar_pop("PC1", "PC2"), F.avg("PC1"), F.avg("PC2")).first()
+    best = max(r[1] for r in scores.collect())
+    centers = made.groupBy("cluster").agg(F.avg("PC1").alias("x"), F.avg("PC2").alias("y"))
+    d = made.crossJoin(F.broadcast(centers.withColumnRenamed("cluster", "other"))).withColumn("d", F.hypot(F.col("PC1") - F.col("x"), F.col("PC2") - F.col("y")))  # a row a domain, a handful of centers
+    near = d.groupBy("domain", "cluster").agg(F.min_by("other", "d").alias("nearest"))
+    rules = {
+        "components are centred": abs(v[3]) < 1e-6 and abs(v[4]) < 1e-6,
+        "components are uncorrelated": abs(v[2]) < 1e-6,
+        "the first explains more": v[0] >= v[1] and shares[0] >= shares[1],
+        "shares are of variances": abs(shares[0] * v[1] - shares[1] * v[0]) < 1e-6,
+        "the best silhouette is kept": abs(E.silhouette(made, "domain", ["PC1", "PC2"]).first()[0] - best) < 1e-9,
+        "domains are in their nearest cluster": near.where("cluster <> nearest").count() == 0,
+    }
+    return spark.createDataFrame([(k, bool(x)) for k, x in rules.items()], "rule string, holds boolean")
+
+
 def _fixed_clusters(spark, sf_dir):
     """Domains by the sign of their bias, for exact comparison."""
     f = E.domain_features(E.stance_counts(_stances(spark, sf_dir)))
@@ -127,7 +155,7 @@ def cluster_summary(spark, sf_dir):
 
 QUERIES = {
     f.__name__: f
-    for f in (entity_domain_crosstab, entity_matrix_wide_long, entity_pmi, entity_mi, entity_tfidf, stance_counts, domain_sentiment_features, domain_sentiment_by_document, summed_batches, normalize_entities, normalized_stances, standardized_features, domain_pca, domain_clusters, silhouette_by_k, silhouette_given_labels, cluster_summary)
+    for f in (entity_domain_crosstab, entity_matrix_wide_long, entity_pmi, entity_mi, entity_tfidf, stance_counts, domain_sentiment_features, domain_sentiment_by_document, summed_batches, normalize_entities, normalized_stances, standardized_features, domain_pca, pca_shares, cluster_rules, domain_clusters, silhouette_by_k, silhouette_given_labels, cluster_summary)
 }
 _SRC = r"nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '')"
 _M = f"""
@@ -175,6 +203,7 @@ SELECT *, round(CASE WHEN total > 0 THEN (pos_count - neg_count) / total ELSE 0
     "normalize_entities": f"SELECT url, array_to_string(list_transform(ner, lambda x: CASE WHEN trim(x) = upper(trim(x)) AND trim(x) <> lower(trim(x)) THEN lower(trim(x)) ELSE trim(x) END), '|') AS names FROM (SELECT url, max(ner) AS ner FROM {NER} WHERE url IS NOT NULL AND len(ner) > 0 GROUP BY url)",
     "normalized_stances": _ST + f" SELECT coalesce(canonical, entity) AS entity, domain, sum(pos_count)::BIGINT AS pos_count, sum(neg_count)::BIGINT AS neg_count, sum(neu_count)::BIGINT AS neu_count, sum(total)::BIGINT AS total FROM c LEFT JOIN {_MAP} ON raw = entity GROUP BY 1, 2",
     "standardized_features": _DISTINCT + " SELECT domain, " + ", ".join(f"round(coalesce(({c} - avg({c}) OVER ()) / nullif(stddev_pop({c}) OVER (), 0), 0), 5) AS {c}" for c in E.FEATURES) + " FROM k",
+    "cluster_rules": "SELECT unnest(['components are centred', 'components are uncorrelated', 'the first explains more', 'shares are of variances', 'the best silhouette is kept', 'domains are in their nearest cluster']) AS rule, true AS holds",
     "silhouette_given_labels": _SIL + " SELECT round(avg(CASE WHEN a IS NULL THEN 0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0) END), 6) AS silhouette_score FROM z",
     "cluster_summary": _DISTINCT + " SELECT CASE WHEN bias_score > 0 THEN 1 ELSE 0 END AS cluster, round(avg(pos_rate), 3) AS pos_rate, round(avg(neg_rate), 3) AS neg_rate, round(avg(entropy), 3) AS entropy FROM k GROUP BY 1",
 }

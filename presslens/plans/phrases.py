@@ -9,19 +9,17 @@ from presslens.functions import text as X
 from presslens.functions import tokens as K
 from presslens.operators import matrix as M
 from presslens.operators import scores as S
-from presslens.session import table
-from presslens.storage import materialize
+from presslens.operators import vocabulary as V
+from presslens.session import norm_source, table
+from presslens.sources import io
+from presslens.storage import materialize, once, shared_dir
 
 STOP = K.ROMANIAN_STOP_WORDS
 
 
 def _phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The matrix of all documents with 1- to 3-grams, written once for the queries that read it often."""
-    return materialize(M.phrase_matrix(table(spark, sf_dir, "documents"), "text", "source", STOP), "phrases")
-
-
-def _phrases_once(spark, sf_dir):
-    return M.phrase_matrix(table(spark, sf_dir, "documents"), "text", "source", STOP)
+    """The matrix of all documents with 1- to 3-grams, written once a session for all queries that read it."""
+    return once(spark, (sf_dir, "phrases"), lambda: M.phrase_matrix(table(spark, sf_dir, "documents"), "text", "source", STOP))
 
 
 _STOP_SQL = "[" + ", ".join("'" + w + "'" for w in STOP) + "]"
@@ -51,15 +49,15 @@ q AS (SELECT k.* FROM k SEMI JOIN kt USING (phrase))"""
 
 
 def phrase_source_matrix(spark, sf_dir):
-    return _phrases_once(spark, sf_dir)
+    return _phrases(spark, sf_dir)
 
 
 def phrase_totals(spark, sf_dir):
-    return M.totals(_phrases_once(spark, sf_dir), "phrase")
+    return M.totals(_phrases(spark, sf_dir), "phrase")
 
 
 def too_good_phrases(spark, sf_dir):
-    return M.too_good(_phrases_once(spark, sf_dir)).withColumn("dominance_ratio", F.round("dominance_ratio", 6))
+    return M.too_good(_phrases(spark, sf_dir)).withColumn("dominance_ratio", F.round("dominance_ratio", 6))
 
 
 def ubiquitous_phrases(spark, sf_dir):
@@ -76,7 +74,7 @@ def pruned_matrix(spark, sf_dir):
 
 
 def _pruned(spark, sf_dir):
-    return materialize(pruned_matrix(spark, sf_dir), "pruned")
+    return once(spark, (sf_dir, "pruned"), lambda: pruned_matrix(spark, sf_dir))
 
 
 def pmi_cells(spark, sf_dir):
@@ -105,7 +103,7 @@ def max_tfidf_top(spark, sf_dir):
 
 def matrix_marginals(spark, sf_dir):
     """Grand total, row sums and column sums as grouping sets."""
-    m = _phrases_once(spark, sf_dir)
+    m = _phrases(spark, sf_dir)
     m.createOrReplaceTempView("presslens_matrix")
     sums = spark.sql("SELECT grouping_id(phrase, domain) AS level, phrase, domain, sum(n) AS n FROM presslens_matrix GROUP BY GROUPING SETS ((), (phrase), (domain))")
     return sums.select(F.col("level").cast("bigint").alias("level"), "phrase", "domain", "n")
@@ -117,23 +115,10 @@ def word_filter(spark, sf_dir):
     return d.select("doc_id", (X.word_count(F.col("text")) > 30).alias("for_matrix"), (F.size(F.regexp_extract_all("text", F.lit(r"[\p{L}\p{N}_]+"), F.lit(0))) >= 30).alias("for_models"))
 
 
-def _lower_words():
-    w = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)), lambda x: ~x.isin(*STOP))
-    return w
-
-
-def _terms(spark, sf_dir):
-    """Counts (doc_id, term, tf) of 1- and 2-grams without stop words."""
-    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", _lower_words().alias("w"))
-    two = F.transform(F.when(F.size("w") >= 2, F.sequence(F.lit(1), F.size("w") - 1)).otherwise(F.array().cast("array<int>")), lambda i: F.array_join(F.slice("w", i, 2), " "))
-    return d.select("doc_id", F.explode(F.concat("w", two)).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-
-
-def vectorizer_vocab(spark, sf_dir, min_df: int = 5, max_df: float = 0.85):
-    """Terms in at least ``min_df`` documents and at most a share ``max_df`` of them."""
-    n = table(spark, sf_dir, "documents").where("text is not null").agg(F.count("*").alias("n"))
-    df = _terms(spark, sf_dir).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
-    return df.where((F.col("df") >= min_df) & (F.col("df") <= max_df * n.scalar()))
+def vectorizer_vocab(spark, sf_dir):
+    """Terms in at least 5 documents and at most a share of 0.85 of them, with their documents and occurrences."""
+    counts = V.vectorize(table(spark, sf_dir, "documents"), "doc_id", "text", (1, 2), 5, 0.85, STOP)
+    return counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf"))
 
 
 def vocab_by_size(spark, sf_dir):
@@ -144,6 +129,15 @@ def sentence_counts(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.size(X.sentences(F.col("text"))).cast("bigint").alias("sentences"))
 
 
+def chunk_rules(spark, sf_dir):
+    """What chunks of sentences must keep: all words in their order, and at most 512 words unless a sentence alone has more."""
+    d = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text", X.sentences(F.col("text")).alias("s"))
+    d = d.withColumn("c", K.chunk_sentences(F.col("s"), 512))
+    size = lambda x: F.size(F.regexp_extract_all(x, F.lit(r"[^\s]+"), F.lit(0)))
+    fits = F.forall("c", lambda x: (size(x) <= 512) | F.array_contains("s", x))
+    return d.select("doc_id", (F.array_join(F.filter("c", lambda x: x != ""), " ") == F.array_join("s", " ")).alias("whole"), fits.alias("fits"))
+
+
 def sentence_chunks(spark, sf_dir):
     """Chunks of sentences under 512 words, as a model takes them."""
     d = table(spark, sf_dir, "documents").where("text is not null")
@@ -157,9 +151,20 @@ def author_lists(spark, sf_dir):
     return names.groupBy("url").agg(F.array_join(F.array_sort(F.collect_list("name")), "; ").alias("authors"))
 
 
+def matrix_csv(spark, sf_dir):
+    """The entity matrix written wide as a labelled CSV, read back, and made long again."""
+    import uuid
+
+    m = materialize(M.entity_matrix(table(spark, sf_dir, "romanian_political_articles_v2_ner").select("url", norm_source(F.col("source_domain")).alias("source_domain"), "ner")), "entities")
+    path = f"{shared_dir(spark)}/presslens/wide-{uuid.uuid4().hex}"
+    io.write_csv(M.pivot_matrix(m, "entity"), path, index_label="label")
+    back = M.unpivot_matrix(io.read_matrix_csv(spark, path, "entity"), "entity")
+    return back.select("entity", "domain", F.col("n").cast("bigint").alias("n"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (phrase_source_matrix, phrase_totals, too_good_phrases, ubiquitous_phrases, redundant_ngrams, pruned_matrix, pmi_cells, phrase_mi, phrase_mi_top, total_mi, tfidf_phrase, max_tfidf_top, matrix_marginals, word_filter, vectorizer_vocab, vocab_by_size, sentence_counts, sentence_chunks, author_lists)
+    for f in (phrase_source_matrix, phrase_totals, too_good_phrases, ubiquitous_phrases, redundant_ngrams, pruned_matrix, pmi_cells, phrase_mi, phrase_mi_top, total_mi, tfidf_phrase, max_tfidf_top, matrix_marginals, word_filter, vectorizer_vocab, vocab_by_size, sentence_counts, sentence_chunks, chunk_rules, author_lists, matrix_csv)
 }
 _MI = _PRUNED + """, rs AS (SELECT phrase, sum(n)::DOUBLE AS r FROM q GROUP BY phrase), cs AS (SELECT domain, sum(n)::DOUBLE AS c FROM q GROUP BY domain),
 a AS (SELECT sum(n)::DOUBLE AS t FROM q), c2 AS (SELECT q.phrase, q.domain, n::DOUBLE AS n, r, c, t FROM q JOIN rs USING (phrase) JOIN cs USING (domain), a)"""
@@ -187,6 +192,9 @@ ORACLES = {
     "max_tfidf_top": _TFIDF + " SELECT phrase, round(max(tfidf), 6) AS max_tfidf FROM x GROUP BY phrase ORDER BY max_tfidf DESC, phrase LIMIT 50",
     "matrix_marginals": _GRAMS + " SELECT 3 AS level, NULL AS phrase, NULL AS domain, sum(n)::BIGINT AS n FROM m UNION ALL SELECT 1, phrase, NULL, sum(n)::BIGINT FROM m GROUP BY phrase UNION ALL SELECT 2, NULL, domain, sum(n)::BIGINT FROM m GROUP BY domain",
     "word_filter": r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+')) > 30 AS for_matrix, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) >= 30 AS for_models FROM documents WHERE text IS NOT NULL",
+    "sentence_counts": r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[ \t\n\x{0b}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS sentences FROM documents WHERE text IS NOT NULL",
+    "chunk_rules": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text IS NOT NULL",
+    "matrix_csv": r"SELECT entity, domain, count(*) AS n FROM (SELECT DISTINCT url, nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '') AS domain, unnest(ner) AS entity FROM romanian_political_articles_v2_ner) WHERE url IS NOT NULL AND domain IS NOT NULL AND entity IS NOT NULL GROUP BY entity, domain",
     "vectorizer_vocab": _VOCAB + "SELECT * FROM v",
     "vocab_by_size": _VOCAB + "SELECT len(string_split(term, ' ')) AS size, count(*) AS terms, sum(tf)::BIGINT AS occurrences FROM v GROUP BY 1",
     "author_lists": "SELECT url, array_to_string(list_sort(list(DISTINCT name)), '; ') AS authors FROM (SELECT url, trim(unnest(string_split(authors, ';'))) AS name FROM romanian_political_articles_v2_shuffled WHERE url IS NOT NULL AND authors IS NOT NULL) WHERE name <> '' GROUP BY url",

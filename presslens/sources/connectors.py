@@ -85,13 +85,15 @@ def any_of(columns: list[Column], words: list[str]) -> Column:
     return out
 
 
-def article_query(articles: DataFrame, words: list[str], excluded: list[str] = (), after: str | None = None, before: str | None = None, sites: list[str] = ()) -> DataFrame:
-    """A search expression over stored articles: any word in title, url or text, no excluded part in the url, published within the dates, of the sites."""
+def article_query(articles: DataFrame, words: list[str], excluded: list[str] = (), after: str | None = None, before: str | None = None, sites: list[str] = (), not_sites: list[str] = ()) -> DataFrame:
+    """A search expression over stored articles: any word in title, url or text, no excluded part in the url, published within the dates, of the sites and not of the others (a site is part of a url or a source)."""
     found = articles.where(any_of([F.col("title"), F.col("url"), F.col("maintext")], list(words)))
     if excluded:
         found = found.where(~any_of([F.col("url")], list(excluded)))
     if sites:
-        found = found.where(any_of([F.col("source_domain")], list(sites)))
+        found = found.where(any_of([F.col("source_domain"), F.col("url")], list(sites)))
+    if not_sites:
+        found = found.where(~any_of([F.col("source_domain"), F.col("url")], list(not_sites)))
     if after:
         found = found.where(F.col("date_publish") >= F.lit(after).cast("timestamp"))
     if before:

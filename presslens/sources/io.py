@@ -5,13 +5,13 @@ Parquet is the store; CSV, line and JSON files are read with explicit schemas.
 
 from __future__ import annotations
 
-import os
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from presslens.functions import text as X
+from presslens.storage import materialize
 
 ARTICLE = "url string, title string, date_publish string, description string, maintext string, source_domain string, authors string"
 FIELDS = [f.split()[0] for f in ARTICLE.split(", ")]
@@ -23,15 +23,17 @@ def read_articles_csv(spark: SparkSession, path, schema: str = ARTICLE) -> DataF
     return df.withColumn("date_publish", F.try_to_timestamp("date_publish")) if "date_publish" in df.columns else df
 
 
-def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV that ``read_articles_csv`` reads back unchanged; times as text."""
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite", index_label: str | None = None) -> None:
+    """CSV that ``read_articles_csv`` reads back unchanged; times as text. ``index_label`` names the first column, as labelled matrices have it."""
+    if index_label is not None:
+        df = df.withColumnRenamed(df.columns[0], index_label)
     times = {c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS") for c, t in df.dtypes if t.startswith("timestamp")}
     df.withColumns(times).write.mode(mode).csv(path, header=True, quote='"', escape='"', quoteAll=True, nullValue="\\N", emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def read_matrix_csv(spark: SparkSession, path: str, row: str) -> DataFrame:
     """A wide labelled matrix; the first column holds the row labels."""
-    df = spark.read.csv(path, header=True, inferSchema=False, quote='"', escape='"')
+    df = spark.read.csv(path, header=True, inferSchema=False, multiLine=True, quote='"', escape='"', nullValue="\\N", emptyValue="")
     first = df.columns[0]
     return df.select(F.col(first).alias(row), *(F.col(f"`{c}`").try_cast("double").alias(c) for c in df.columns[1:]))
 
@@ -48,13 +50,18 @@ def read_query(spark: SparkSession, path: str) -> DataFrame:
 
 def read_json_map(spark: SparkSession, path: str) -> DataFrame:
     """``(raw, canonical)`` of a JSON object of strings; empty where the file is missing or broken."""
-    local = path.removeprefix("file://")
-    if "://" not in path and not os.path.exists(local) or path.startswith("file://") and not os.path.exists(local):
+    if not _exists(spark, path):
         return spark.createDataFrame([], "raw string, canonical string")
     got = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,string>").alias("m"))
     return got.select(F.explode("m").alias("raw", "canonical"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in its file system, local or shared."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def read_patterns(path: str) -> list[str]:
     """Literal patterns of a dictionary file, in their order."""
     with open(path, encoding="utf-8") as f:
@@ -77,6 +84,18 @@ def keep_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return df.withColumn("_rank", F.row_number().over(w)).where("_rank = 1").drop("_rank")
 
 
+BROADCAST_KEYS = 200_000
+
+
+def one_row(df: DataFrame, key: str = "url") -> DataFrame:
+    """One row a key: the greatest value of each column. Keys that stand once pass as they are; only the others' rows are sent around."""
+    df = df.where(F.col(key).isNotNull())
+    often = materialize(df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key), "repeated")
+    often = F.broadcast(often) if often.count() <= BROADCAST_KEYS else often
+    merged = df.join(often, key, "left_semi").groupBy(key).agg(*(F.max(c).alias(c) for c in df.columns if c != key))
+    return df.join(often, key, "left_anti").unionByName(merged)
+
+
 def duplicate_keys(df: DataFrame, key: str = "url") -> DataFrame:
     """Values that occur more than once, with their number."""
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).where("n > 1")
@@ -102,7 +121,7 @@ def append_lines(df: DataFrame, path: str) -> None:
 
 
 def rewrite_lines(spark: SparkSession, path: str) -> None:
-    """Replace a line file (a folder of text) by its distinct lines in first order: written beside, then renamed."""
+    """Replace a line file (a folder of text) by its distinct lines in first order: written beside, then renamed; the old one is kept aside until the new one is in its place."""
     lines = spark.read.text(path).withColumn("_at", F.monotonically_increasing_id())
     kept = lines.where("trim(value) <> ''").groupBy("value").agg(F.min("_at").alias("_at")).orderBy("_at").select("value")
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -110,8 +129,12 @@ def rewrite_lines(spark: SparkSession, path: str) -> None:
     beside = jvm.org.apache.hadoop.fs.Path(f"{path}.{uuid.uuid4().hex}")
     kept.write.text(beside.toString())
     fs = target.getFileSystem(conf)
-    fs.delete(target, True)
-    fs.rename(beside, target)
+    aside = jvm.org.apache.hadoop.fs.Path(f"{path}.old-{uuid.uuid4().hex}")
+    fs.rename(target, aside)
+    if not fs.rename(beside, target):
+        fs.rename(aside, target)
+        raise OSError(f"{path} could not be replaced")
+    fs.delete(aside, True)
 
 
 def write_parts(df: DataFrame, path: str, part: str = "part") -> None:
@@ -126,8 +149,6 @@ def append_batch(df: DataFrame, path: str, batch: int) -> None:
 
 def read_batches(spark: SparkSession, path: str, key: str, value: str, schema: str) -> DataFrame:
     """The latest value of each key over all batches; empty where there is none yet."""
-    try:
-        df = spark.read.parquet(path)
-    except Exception:
+    if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return df.groupBy(key).agg(F.max_by(value, F.struct("batch", value)).alias(value))
+    return spark.read.parquet(path).groupBy(key).agg(F.max_by(value, F.struct("batch", value)).alias(value))

@@ -11,19 +11,23 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 _written: list[tuple[SparkSession, str]] = []
+_shared: dict[tuple, DataFrame] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder for intermediate tables; set to a new temporary one where unset."""
+    """Folder for intermediate tables. Where it is unset a temporary one is made in local mode; on a cluster that is an error, as executors do not share it."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
         set_by = spark.sparkContext._jsc.sc().getCheckpointDir()
         base = set_by.get() if set_by.isDefined() else None
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="presslens-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -35,7 +39,26 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/presslens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned and that nothing reads any more."""
+    path = getattr(df, "_written_at", None)
+    found = [x for x in _written if x[1] == path]
+    for x in found:
+        _written.remove(x)
+        _delete(*x)
+
+
+def once(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several queries of a session read, written by the first of them. ``key`` names it and its input."""
+    key = (spark.sparkContext.applicationId, *key)
+    if key not in _shared:
+        _shared[key] = materialize(build(), str(key[1]))
+    return _shared[key]
 
 
 def table_bytes(df: DataFrame) -> int:
@@ -50,15 +73,19 @@ def table_bytes(df: DataFrame) -> int:
     return total
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    except Exception:
+        pass
+
+
 def release() -> None:
     """Delete every intermediate table written by this process."""
+    _shared.clear()
     while _written:
-        spark, path = _written.pop()
-        try:
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:
-            pass
+        _delete(*_written.pop())
 
 
 atexit.register(release)

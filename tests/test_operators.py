@@ -158,6 +158,7 @@ def test_embedder(spark):
     lv = np.array([r[1:] for r in left.collect()])
     assert np.allclose(lv.T @ lv, np.eye(2), atol=1e-6)
     assert model.orthogonalize(full=True)[2].count() == 6
+    assert np.abs(model.w - 1).max() > 1e-4 and np.abs(model.w).max() <= embed.WEIGHT and [r[1] for r in model.weights().orderBy("bias_dim").collect()] == pytest.approx(model.w.tolist())
     assert model.reconstruct().count() == len(rows(m.select("phrase").distinct(), "phrase")) * 6
 
 
@@ -226,3 +227,90 @@ def test_export_and_merge(spark):
 def test_article_query(spark):
     a = spark.createDataFrame([("http://x/a", "Guvern", "t", "s"), ("http://x/amp", "guvern", "t", "s"), ("http://x/b", None, None, None)], "url string, title string, maintext string, source_domain string").withColumn("date_publish", F.lit("2024-01-01").cast("timestamp"))
     assert rows(connectors.article_query(a, ["GUVERN"], ["/amp"], "2023-01-01", "2025-01-01"), "url") == [("http://x/a",)]
+
+
+def test_embedder_is_as_good_as_gradient_descent(spark):
+    """On a small matrix the loss is no worse than that of many steps of plain gradient descent on all of U, V and w."""
+    rng = np.random.default_rng(4)
+    n = rng.poisson(np.exp(np.clip(rng.normal(0, 1, (25, 2)) @ rng.normal(0, 1, (5, 2)).T, -2, 2))).astype(float)
+    n[0, 0] += 1
+    m = spark.createDataFrame([(f"r{i}", f"d{j}", int(n[i, j])) for i in range(25) for j in range(5) if n[i, j]], "phrase string, domain string, n bigint")
+    model = embed.PoissonEmbedder(rank=2).fit(m, max_iter=60)
+    kept = n[n.sum(1) > 0]
+    a, s, b = np.linalg.svd(kept, full_matrices=False)
+    u, v, w = a[:, :2] * s[:2], b[:2].T.copy(), np.ones(2)
+    penalty = lambda: model.l2 * float((u * u).sum() + (v * v).sum() + (w * w).sum())
+    best, step = np.inf, 1e-3
+    for _ in range(20000):
+        loss, gu, gv, gw = embed.loss_and_gradients(kept, u, v, w)
+        loss += penalty()
+        if loss < best:
+            best, saved = loss, (u.copy(), v.copy(), w.copy())
+            step *= 1.05
+        else:
+            u, v, w = (x.copy() for x in saved)
+            step /= 2
+            _, gu, gv, gw = embed.loss_and_gradients(kept, u, v, w)
+        u -= step * (gu + 2 * model.l2 * u)
+        v -= step * (gv + 2 * model.l2 * v)
+        w = np.clip(w - step * (gw + 2 * model.l2 * w), -10, 10)
+    assert model.losses[-1] <= best + 0.01 * abs(best)
+
+
+def test_bias_words(spark):
+    from presslens.operators import vocabulary as V
+
+    docs = spark.createDataFrame([(i, "Reforma fiscală vine azi" if i < 4 else "fiscală azi", "s") for i in range(6)] + [(9, None, "s")], "id int, text string, source string")
+    counts = V.vectorize(docs, "id", "text", (1, 2), min_df=2, max_df=0.9)
+    assert {r[0] for r in counts.select("term").distinct().collect()} == {"reforma", "vine", "reforma fiscală", "fiscală vine", "vine azi", "fiscală azi"}
+    terms = counts.join(docs.select("id", "source"), "id")
+    allowed = spark.createDataFrame([("reforma",), ("reforma fiscală",), ("azi",)], "term string")
+    assert {r[0] for r in V.bias_terms(terms, allowed).select("term").distinct().collect()} == {"reforma fiscală"}
+    assert {r[0] for r in V.bias_terms(terms, allowed, strict_reference=True).select("term").distinct().collect()} == {"reforma", "reforma fiscală"}
+    kept = V.bias_terms(terms, allowed)
+    assert rows(V.source_words(kept, ["none"]), "source", "word", "n") == [("s", "reforma fiscală", 4)] and V.source_words(kept, ["reforma fiscală"]).count() == 0
+    assert rows(V.article_words(kept, "id"), "id", "bias_words")[0] == (0, ["reforma fiscală"])
+
+
+def test_guards_reports_and_pictures(spark, tmp_path):
+    from presslens.sources import plots
+
+    df = spark.createDataFrame([("a", "a"), ("a", "b"), ("b", "b"), (None, "b")], "t string, g string")
+    with pytest.raises(ValueError, match="'x'.*'t'"):
+        features.require_columns(df, "t", "x")
+    assert rows(features.class_report(df, "t", "g"), "label", "support", "precision", "recall") == [("a", 2, 1.0, 0.5), ("b", 1, pytest.approx(1 / 3), 1.0)]
+    pts = spark.createDataFrame([("<d>", 0.0, 1.0, 0), ("e", 2.0, None, 1), ("f", 1.0, 3.0, 1)], "d string, x double, y double, k int")
+    plots.scatter_svg(pts, "x", "y", str(tmp_path / "a.svg"), "d", "k", "t")
+    svg = (tmp_path / "a.svg").read_text()
+    assert svg.count("<circle") == 2 and "&lt;d&gt;" in svg
+    plots.word_cloud_html(pts, "d", "x", str(tmp_path / "b.html"))
+    assert (tmp_path / "b.html").read_text().count("<span") == 3
+
+
+def test_one_row_and_missing_files(spark, tmp_path):
+    df = spark.createDataFrame([("u", "a", None), ("u", None, 2), ("v", "c", 1), (None, "x", 1)], "url string, t string, n int")
+    assert rows(io.one_row(df), "url", "t", "n") == [("u", "a", 2), ("v", "c", 1)] and io.one_row(df.limit(0)).count() == 0
+    assert io.read_json_map(spark, f"file://{tmp_path}/none.json").count() == 0 and io.read_batches(spark, f"{tmp_path}/none", "raw", "c", "raw string, c string").count() == 0
+    (tmp_path / "bad.json").write_text("{")
+    assert io.read_json_map(spark, f"{tmp_path}/bad.json").count() == 0
+
+
+def test_cv_coherence(spark):
+    words = spark.createDataFrame([(0, "a"), (0, "b"), (1, "c"), (1, "d")], "topic int, term string")
+    docs = spark.createDataFrame([("a b x", ), ("b a y",), ("c x",), ("d y z",), (None,)], "text string")
+    got = dict(rows(topics.cv_coherence(words, docs), "topic", "coherence"))
+    assert got[0] == pytest.approx(1.0) and got[1] < 0.3
+    n = {(t, a, b): n for t, a, b, n in rows(topics.window_counts(docs, words, window=2).where("topic is not null"), "topic", "a", "b", "n")}
+    assert n[(0, "a", "b")] == 2 and n[(0, "a", "a")] == 3 and n[(1, "c", "d")] == 0
+
+
+def test_names_of_a_failed_batch_are_kept(spark):
+    names = spark.createDataFrame([("A",), ("B",)], "raw string")
+
+    def fails(items):
+        raise ValueError
+
+    assert rows(learning.normalize_names(names, fails), "raw", "canonical") == [("A", None), ("B", None)]
+    arts = spark.createDataFrame([("u", "x")], "url string, cleantext string")
+    found = learning.extract_entities(arts, lambda t: [("Ana", "PERSON"), ("Eu", "PERSON"), ("2024", "DATE"), ("Iași", "GPE")], pronouns=["eu"])
+    assert found.first()["ner"] == ["Ana", "Iași"]
