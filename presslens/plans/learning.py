@@ -345,7 +345,7 @@ SELECT topic, round(avg(v), 6) AS coherence FROM sc2 GROUP BY topic""",
     "model_sentiment": PA._A + f", p AS (SELECT url, lower(replace(substring(coalesce(cleantext, ''), 1, 7800), chr(10), ' ')) AS low FROM a), c AS (SELECT url, {_GOOD} AS g, {_BAD} AS b FROM p) SELECT url, CASE WHEN g > b THEN 'pozitiv' WHEN b > g THEN 'negativ' ELSE 'neutru' END AS text_sentiment, ('0.' || least(99, 50 + 10 * abs(g - b)))::DOUBLE AS sentiment_confidence FROM c",
     "model_stances": PA._A
     + rf""", e AS ({_NAMED.format(cols="coalesce(cleantext, '') AS t")}),
-h AS (SELECT url, entity, list_filter(list_filter(list_transform(string_split(regexp_replace(t, '([.!?…])[ \t\n\x{{0b}}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''), lambda x: regexp_matches(x, '(?is)' || {_MENTION})) AS l FROM e WHERE entity IS NOT NULL),
+h AS (SELECT url, entity, list_filter(list_filter(list_transform(string_split(regexp_replace(t, '([.!?…])[ \t\n\x{{0b}}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: regexp_matches(x, '(?is)' || {_MENTION})) AS l FROM e WHERE entity IS NOT NULL),
 k AS (SELECT url, entity, len(l) AS n, lower(entity || chr(10) || array_to_string(l, ' ')) AS low FROM h), c AS (SELECT url, entity, n, {_GOOD} AS g, {_BAD} AS b FROM k)
 SELECT DISTINCT url, entity, CASE WHEN n = 0 THEN 'NO_ENTITY' WHEN g > b THEN 'POZITIV' WHEN b > g THEN 'NEGATIV' ELSE 'NEUTRU' END AS stance FROM c""",
 }

@@ -192,7 +192,7 @@ ORACLES = {
     "max_tfidf_top": _TFIDF + " SELECT phrase, round(max(tfidf), 6) AS max_tfidf FROM x GROUP BY phrase ORDER BY max_tfidf DESC, phrase LIMIT 50",
     "matrix_marginals": _GRAMS + " SELECT 3 AS level, NULL AS phrase, NULL AS domain, sum(n)::BIGINT AS n FROM m UNION ALL SELECT 1, phrase, NULL, sum(n)::BIGINT FROM m GROUP BY phrase UNION ALL SELECT 2, NULL, domain, sum(n)::BIGINT FROM m GROUP BY domain",
     "word_filter": r"SELECT doc_id, len(regexp_extract_all(text, '[^\s]+')) > 30 AS for_matrix, len(regexp_extract_all(text, '[\p{L}\p{N}_]+')) >= 30 AS for_models FROM documents WHERE text IS NOT NULL",
-    "sentence_counts": r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[ \t\n\x{0b}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> ''))::BIGINT AS sentences FROM documents WHERE text IS NOT NULL",
+    "sentence_counts": r"SELECT doc_id, len(list_filter(list_transform(string_split(regexp_replace(text, '([.!?…])[ \t\n\x{0b}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> ''))::BIGINT AS sentences FROM documents WHERE text IS NOT NULL",
     "chunk_rules": "SELECT doc_id, true AS whole, true AS fits FROM documents WHERE text IS NOT NULL",
     "matrix_csv": r"SELECT entity, domain, count(*) AS n FROM (SELECT DISTINCT url, nullif(regexp_replace(lower(trim(source_domain)), '^www\.', ''), '') AS domain, unnest(ner) AS entity FROM romanian_political_articles_v2_ner) WHERE url IS NOT NULL AND domain IS NOT NULL AND entity IS NOT NULL GROUP BY entity, domain",
     "vectorizer_vocab": _VOCAB + "SELECT * FROM v",
