@@ -62,6 +62,13 @@ def _room(row: np.ndarray) -> np.ndarray:
     return last[np.searchsorted(last, np.arange(len(row)))] - np.arange(len(row)) + 1
 
 
+def _before(rank: np.ndarray, row: np.ndarray, none: int) -> np.ndarray:
+    """The rank of the word before each place; ``none`` at the beginning of a row."""
+    out = np.concatenate([[none], rank[:-1]]).astype(np.int64)
+    out[1:][row[1:] != row[:-1]] = none
+    return out
+
+
 def text_words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes and rows of a column."""
     words, rows = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
@@ -79,24 +86,32 @@ def find_matches(words, row, test_words, test_row, test_room):
     if len(words) == 0 or len(test_words) == 0:
         return nothing
     room = _room(row)
-    key = suffix_order(np.concatenate([test_words, words]), np.concatenate([test_room, room]))
+    every = np.concatenate([test_words, words])
+    key = suffix_order(every, np.concatenate([test_room, room]))
     test_key, key = key[: len(test_words)], key[len(test_words) :]
+    # the word before each place: 0 at the beginning of a document, -1 at that of a test item
+    rank = _ranks(every)
+    test_before, before = _before(rank[: len(test_words)], test_row, -1), _before(rank[len(test_words) :], row, 0)
     at = np.flatnonzero(room >= MATCH)
-    array = at[np.argsort(key[at], kind="stable")]  # the suffix array
+    array = at[np.lexsort((before[at], key[at]))]  # the suffix array, equal beginnings by the word before
     ordered = key[array]
     t = np.flatnonzero(test_room >= MATCH)
     low, high = np.searchsorted(ordered, test_key[t], "left"), np.searchsorted(ordered, test_key[t], "right")
-    n = high - low
-    hit = n > 0
-    t, low, n = t[hit], low[hit], n[hit]
+    hit = high > low
+    t, low, high = t[hit], low[hit], high[hit]
     if len(t) == 0:
         return nothing
+    # only where a run begins: where the words before are the same the suffixes lie within a longer run, and such places are never listed
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    group = np.searchsorted(first, np.arange(len(array)), side="right")
+    width = np.int64(rank.max() + 2)
+    placed, wanted = group * width + before[array] + 1, group[low] * width + test_before[t] + 1
+    same_low, same_high = np.searchsorted(placed, wanted, "left"), np.searchsorted(placed, wanted, "right")
+    # at the beginning of a test item every place begins a run (no document has -1 before, so the range of the same is empty)
+    begin, end, t = np.concatenate([low, same_high]), np.concatenate([same_low, high]), np.concatenate([t, t])
+    n = end - begin
     q = np.repeat(t, n)
-    p = array[np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-    # only where a run begins; its other suffixes lie within it
-    begins = (p == 0) | (q == 0)
-    begins |= (row[p] != row[p - 1]) | (test_row[q] != test_row[q - 1]) | (words[p - 1] != test_words[q - 1])
-    p, q = p[begins], q[begins]
+    p = array[np.repeat(begin - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
     length = np.full(len(p), MATCH, np.int64)
     growing = np.arange(len(p))
     while len(growing):
