@@ -28,6 +28,7 @@ from presslens.storage import materialize, table_bytes
 
 BROADCAST_BYTES = 24_000_000
 BLOCK_ROWS_BITS = 10
+LOOKUP_WORDS = 4_000_000
 
 
 def words_column(text):
@@ -75,8 +76,12 @@ def joiner(known):
             words = f.read_all().combine_chunks()
         tw, ti = words.column(0).combine_chunks(), words.column(1).combine_chunks()
         for batch in batches:
-            for b in range(0, len(batch), 2000):
-                part = batch.slice(b, 2000)
+            # each lookup builds the table's hash anew, so it serves as many rows as memory allows
+            upto = np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(1)), 0), np.int64))
+            b = 0
+            while b < len(batch):
+                e = max(b + 1, int(np.searchsorted(upto, (upto[b - 1] if b else 0) + LOOKUP_WORDS, side="right")))
+                part, b = batch.slice(b, e - b), e
                 yield pa.RecordBatch.from_arrays([part.column(0), _lookup(part.column(1), tw, ti)], ["doc_id", "ids"])
 
     return run
