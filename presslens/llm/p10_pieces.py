@@ -31,7 +31,7 @@ from presslens.llm import bpe
 from presslens.session import table
 
 LIMIT, OVERLAP = 2048, 128
-SLACK = 16  # tokens that the ends of a piece may add when it is encoded by itself
+SLACK = 16  # tokens that the ends of a piece may add when it is encoded by itself; doubled where that is not enough
 BLOCK, STEP = 60, 20  # words on each side of a boundary; words between measured places
 WORD, SENTENCE, PARAGRAPH, SECTION = 1, 2, 3, 4
 
@@ -89,9 +89,19 @@ class Cohesion:
         return self.depth[min(near, key=lambda j: abs(self.at[j] - place))]
 
 
-def cut(text: str, count, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int]]:
-    """(begin, end) of the pieces of a text. ``count``: tokens of a string."""
+def pieces_of(text: str, count, limit: int = LIMIT, overlap: int = OVERLAP) -> list[tuple[int, int, int]]:
+    """(begin, end, tokens) of the pieces of a text; each is counted by itself, and the text is cut again with more slack if one has too many."""
     slack = min(SLACK, limit // 8)
+    while True:
+        made = [(b, e, count(text[b:e])) for b, e in cut(text, count, limit, overlap, slack)]
+        if slack >= limit // 2 or all(n <= limit for _, _, n in made):
+            return made
+        slack = min(2 * slack + 1, limit // 2)
+
+
+def cut(text: str, count, limit: int = LIMIT, overlap: int = OVERLAP, slack: int = SLACK) -> list[tuple[int, int]]:
+    """(begin, end) of the pieces of a text. ``count``: tokens of a string."""
+    slack = min(slack, limit // 2)
     places, sizes, known = [0], [], {}
     for m in _SPLIT.finditer(text):
         w = m[0]
@@ -153,8 +163,8 @@ def cutter(path: str, name: str, limit: int, overlap: int):
                 if count(text) <= limit:
                     continue
                 before = 0
-                for k, (b, e) in enumerate(cut(text, count, limit, overlap)):
-                    rows.append((doc, k, b, e, count(text[b:e]), count(text[b:before]) if b < before else 0, text[b:e]))
+                for k, (b, e, n) in enumerate(pieces_of(text, count, limit, overlap)):
+                    rows.append((doc, k, b, e, n, count(text[b:before]) if b < before else 0, text[b:e]))
                     before = e
             cols = list(zip(*rows)) or [()] * 7
             kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.string()]
