@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from presslens.llm import textvec as tv
 from presslens.session import norm_source, table
+from presslens.storage import materialize
 
 SHUFFLED = "romanian_political_articles_v2_shuffled"
 MIN_ARTICLES = 5
@@ -170,6 +171,15 @@ def line_clusters(arts: DataFrame) -> DataFrame:
     return sizes.join(totals, "source").where(f"lines >= {MIN_ARTICLES} and lines * {SHARE} >= total").drop("total")
 
 
+def near_repeated_lines(arts: DataFrame) -> DataFrame:
+    """``(url, line_no)`` of the lines in frequent clusters of masked lines: lines that differ in numbers, dates and names too. In both bands, so that a chance hit of one removes nothing."""
+    clusters = line_clusters(arts).select("source", "band", "bucket")
+    lines = arts.where("source is not null").select("source", "url", F.posexplode("lines").alias("line_no", "l")).where("l.key <> 0")
+    each = lines.select("source", "url", F.col("line_no").cast("bigint").alias("line_no"), F.posexplode(F.array(*(f"l.band{k}" for k in range(BANDS)))).alias("band", "bucket"))
+    hits = each.join(clusters, ["source", "band", "bucket"], "left_semi").groupBy("url", "line_no").agg(F.count("*").alias("n"))
+    return hits.where(F.col("n") == BANDS).select("url", "line_no")
+
+
 def clean(rows: DataFrame, found: DataFrame) -> DataFrame:
     """``(url, maintext)``: each article once, without its repeated lines; other lines stay as they are."""
     drop = found.groupBy("url").agg(F.collect_set(F.col("line_no").cast("int")).alias("gone"))
@@ -189,9 +199,17 @@ def p3_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clean(rows, repeated_lines(article_lines(rows)))
 
 
+def p3_clean_near(spark: SparkSession, sf_dir: str, near: bool = True) -> DataFrame:
+    """``p3_clean`` that removes near-duplicate lines too (``near``)."""
+    rows = table(spark, sf_dir, SHUFFLED).select("url", "maintext", "source_domain")
+    arts = materialize(article_lines(rows), "p3-lines")
+    found = repeated_lines(arts)
+    return clean(rows, found.union(near_repeated_lines(arts)) if near else found)
+
+
 def p3_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, SHUFFLED).select("url", "maintext", "source_domain")
     return line_clusters(article_lines(rows))
 
 
-QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_clusters": p3_clusters}
+QUERIES = {"p3_found": p3_found, "p3_clean": p3_clean, "p3_clean_near": p3_clean_near, "p3_clusters": p3_clusters}

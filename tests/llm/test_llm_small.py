@@ -49,6 +49,20 @@ def test_p3_rule(spark):
     assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data).limit(0))).count() == 0
 
 
+def test_p3_near_duplicate_lines(spark):
+    """Bylines that differ in names and dates are no repeated line, but one cluster."""
+    who = "Ana Maria Pop, Ion Pop, Radu Ilie, Dan Nica, Ene Stan, Ilie Mic".split(", ")
+    data = [(f"u{i}", f"Articol scris de {w} la data de {i + 3} martie\n{w} vorbește despre {chr(97 + i) * 4} și {chr(98 + i) * 5}", "s.ro") for i, w in enumerate(who)]
+    arts = p3_lines.article_lines(articles(spark, data))
+    assert p3_lines.repeated_lines(arts).count() == 0
+    assert rows(p3_lines.near_repeated_lines(arts), "url", "line_no") == [(f"u{i}", 0) for i in range(6)]
+
+
+def test_p3_one_line_in_capitals_and_not(spark):
+    data = [(f"u{i}", f"text {chr(97 + i) * 3}\n{'Lasă Un Comentariu' if i % 2 else 'LASĂ UN COMENTARIU'}", "s.ro") for i in range(8)]
+    assert rows(p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data))), "url", "line_no") == [(f"u{i}", 1) for i in range(8)]
+
+
 def test_p3_share(spark):
     data = [(f"u{i}", ("Nota redacției" if i < 5 else f"rând {chr(97 + i % 26)}{chr(97 + i // 26)}"), "s") for i in range(101)]
     assert p3_lines.repeated_lines(p3_lines.article_lines(articles(spark, data))).count() == 0  # 5 of 101 is under a twentieth
