@@ -70,10 +70,10 @@ def line_keys(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def line_bands(codes, offsets, starts, ends) -> np.ndarray:
-    """LSH bands of the masked words of each line, as (lines, BANDS) of 32 bits."""
+    """LSH bands of the masked words of each line, and a hash of the masked line itself (masks that follow each other count as one), as (lines, BANDS + 1) of 32 bits."""
     folded, fo, upper = fold_with_upper(codes, offsets)
     words, row, ws, _ = tv.words_of(folded, fo)
-    out = np.zeros((len(starts), BANDS), np.uint32)
+    out = np.zeros((len(starts), BANDS + 1), np.uint32)
     if len(words) == 0:
         return out
     masked = words.copy()
@@ -93,6 +93,11 @@ def line_bands(codes, offsets, starts, ends) -> np.ndarray:
             for v in values[b * ROWS + 1 : (b + 1) * ROWS]:
                 h = tv.mix(h * np.uint64(31) + v)
             out[line[first], b] = (h >> np.uint64(32)).astype(np.uint32)
+        new = opening.copy()
+        new[1:] |= masked[1:] != masked[:-1]
+        begin = np.flatnonzero(opening[new])
+        whole = tv.run_hashes(masked[new], begin, np.diff(np.append(begin, new.sum())))
+        out[line[first], BANDS] = (whole >> np.uint64(32)).astype(np.uint32)
     return out
 
 
@@ -120,12 +125,12 @@ def _scan_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             bands = line_bands(codes, offsets, starts, ends)
             at = pa.array(np.searchsorted(rows, np.arange(len(part) + 1)).astype(np.int32))
             lines = pa.StructArray.from_arrays(
-                [pa.array(keys.view(np.int64)), *(pa.array(bands[:, k].view(np.int32)) for k in range(BANDS))], ["key", *(f"band{k}" for k in range(BANDS))]
+                [pa.array(keys.view(np.int64)), *(pa.array(bands[:, k].copy().view(np.int32)) for k in range(BANDS + 1))], ["key", *(f"band{k}" for k in range(BANDS)), "mask"]
             )
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(b, e - b), batch.column(1).slice(b, e - b), pa.ListArray.from_arrays(at, lines)], ["url", "source", "lines"])
 
 
-LINE = "struct<key: bigint, " + ", ".join(f"band{k}: int" for k in range(BANDS)) + ">"
+LINE = "struct<key: bigint, " + ", ".join(f"band{k}: int" for k in range(BANDS)) + ", mask: int>"
 
 
 def article_lines(rows: DataFrame, url: str = "url", text: str = "maintext", source: str = "source_domain") -> DataFrame:
@@ -172,12 +177,16 @@ def line_clusters(arts: DataFrame) -> DataFrame:
 
 
 def near_repeated_lines(arts: DataFrame) -> DataFrame:
-    """``(url, line_no)`` of the lines in frequent clusters of masked lines: lines that differ in numbers, dates and names too. In both bands, so that a chance hit of one removes nothing."""
+    """``(url, line_no)`` of lines that are repeated but for their numbers, dates and names: members of frequent clusters whose masked form enough articles of the source have."""
+    sourced = arts.where("source is not null")
+    totals = sourced.groupBy("source").agg(F.count("*").alias("total"))
     clusters = line_clusters(arts).select("source", "band", "bucket")
-    lines = arts.where("source is not null").select("source", "url", F.posexplode("lines").alias("line_no", "l")).where("l.key <> 0")
-    each = lines.select("source", "url", F.col("line_no").cast("bigint").alias("line_no"), F.posexplode(F.array(*(f"l.band{k}" for k in range(BANDS)))).alias("band", "bucket"))
-    hits = each.join(clusters, ["source", "band", "bucket"], "left_semi").groupBy("url", "line_no").agg(F.count("*").alias("n"))
-    return hits.where(F.col("n") == BANDS).select("url", "line_no")
+    lines = sourced.select("source", "url", F.posexplode("lines").alias("line_no", "l")).where("l.key <> 0")
+    each = lines.select("source", "url", F.col("line_no").cast("bigint").alias("line_no"), F.col("l.mask").alias("mask"), F.posexplode(F.array(*(f"l.band{k}" for k in range(BANDS)))).alias("band", "bucket"))
+    members = each.join(clusters, ["source", "band", "bucket"], "left_semi").select("source", "url", "line_no", "mask").distinct()
+    often = members.select("source", "mask", "url").distinct().groupBy("source", "mask").agg(F.count("*").alias("articles")).join(totals, "source")
+    often = often.where(f"articles >= {MIN_ARTICLES} and articles * {SHARE} >= total").select("source", "mask")
+    return members.join(often, ["source", "mask"], "left_semi").select("url", "line_no")
 
 
 def clean(rows: DataFrame, found: DataFrame) -> DataFrame:
