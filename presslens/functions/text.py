@@ -101,7 +101,7 @@ def clean_nlp(c: Column, patterns: Iterable[str] = (), fast: bool = False, entit
 
 def sentences(c: Column) -> Column:
     """Sentences by rule: a blank after ``. ! ? …``; pieces are trimmed, empty ones left out."""
-    return F.filter(F.transform(F.split(c, r"(?<=[.!?…])\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, r"(?<=[.!?…])\s+"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def mark_sentences(c: Column) -> Column:

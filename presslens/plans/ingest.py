@@ -428,3 +428,19 @@ ORACLES |= {
     "entity_mentions": rf"SELECT url, entity, regexp_matches(cleantext, '(?is)(^|[^{_W}])' || regexp_escape(entity) || '($|[^{_W}])') AS mentioned FROM (SELECT DISTINCT url, cleantext, unnest(ner) AS entity FROM {NER} WHERE url IS NOT NULL AND cleantext IS NOT NULL) WHERE regexp_full_match(entity, '[\p{{L}}\p{{N}}](.*[\p{{L}}\p{{N}}])?')",
     "trimmed_columns": f"SELECT url, topic FROM (SELECT DISTINCT url, topic, topic_0 FROM {TOPICS})",
 }
+
+# The whole cleaning, step by step; entities other than these five do not occur in the tables.
+_ENTITIES = {"&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "''", "&nbsp;": "\xa0", "&amp;": "&"}
+_UNESCAPED = "t2"
+for _x, _y in _ENTITIES.items():
+    _UNESCAPED = f"replace({_UNESCAPED}, '{_x}', '{_y}')"
+_NUMBERS = rf"array_to_string(list_transform(regexp_extract_all(t4, '[{_W}]+|[^{_W}]+'), lambda x: CASE WHEN regexp_full_match(x, '\p{{Nd}}+') AND NOT regexp_matches(x, '^20\p{{Nd}}\p{{Nd}}') THEN '' ELSE x END), '')"
+_CLEAN = f"""WITH s1 AS (SELECT url, regexp_replace(translate({_BOILER}, 'ţşŢŞ', 'țșȚȘ'), '<.*?>', '', 'g') AS text FROM (SELECT url, max(maintext) AS maintext {_A} WHERE url IS NOT NULL AND maintext IS NOT NULL GROUP BY url)),
+s2 AS (SELECT url, {_files(_LINKS)} AS t2 FROM s1), s3 AS (SELECT url, {_UNESCAPED} AS t3 FROM s2),
+s4 AS (SELECT url, regexp_replace(t3, '{_QUOTED}{{1,10}}[^{_QUOTED[1:]}{{1,1000}}?{_QUOTED}{{1,10}}', '', 'gs') AS t4 FROM s3),
+s5 AS (SELECT url, trim(regexp_replace(translate({_NUMBERS}, '*•·@~^_`+=\\|', ''), '{_WS}', ' ', 'g')) AS cleantext FROM s4)"""
+_MARKED = r"list_filter(list_transform(string_split(regexp_replace(cleantext, '([.!?…])[ \t\n\x{0b}\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ')), lambda x: x <> '')"
+ORACLES |= {
+    "clean_articles": _CLEAN + " SELECT url, cleantext FROM s5",
+    "clean_articles_marked": _CLEAN + f" SELECT url, array_to_string(list_transform({_MARKED}, lambda x: lower(string_split(x, ' ')[1]) || substr(x, length(string_split(x, ' ')[1]) + 1)), ' PERIOD ') AS cleantext FROM s5",
+}

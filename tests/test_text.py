@@ -45,6 +45,10 @@ def test_cases(spark, step, given_, wanted):
     assert run(spark, [given_], step) == [wanted]
 
 
+def test_sentences_are_trimmed(spark):
+    assert run(spark, [" Una.  Două ! ", "   ", ""], lambda c: X.sentences(c)) == [["Una.", "Două !"], [], []]
+
+
 def test_stances_drop_tuples(spark):
     got = run(spark, ["[{'entity': \"O'Neil\", 'stance': 'NEUTRU'}, ('B', 'NO_ENTITY')]", None], X.parse_stances)
     assert [tuple(x) for x in got[0]] == [("O'Neil", "NEUTRU")] and got[1] == []
