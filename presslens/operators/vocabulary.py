@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from presslens.functions.tokens import bound
 from presslens.operators import matrix as M
+from presslens.storage import materialize
 
 
 def term_list(text: Column, sizes: Iterable[int] = (1, 2), stop: Iterable[str] = ()) -> Column:
@@ -33,7 +34,7 @@ def term_counts(docs: DataFrame, key: str, text: str, sizes: Iterable[int] = (1,
 
 def vectorize(docs: DataFrame, key: str, text: str, sizes: Iterable[int] = (1, 2), min_df: int = 5, max_df: float = 0.85, stop: Iterable[str] = ()) -> DataFrame:
     """``(key, term, tf)`` of the terms in at least ``min_df`` documents and at most a share ``max_df`` of all with text."""
-    counts = term_counts(docs, key, text, sizes, stop)
+    counts = materialize(term_counts(docs, key, text, sizes, stop), "terms")  # read twice
     n = docs.where(F.col(text).isNotNull()).agg(F.count("*").alias("n"))
     kept = counts.groupBy("term").agg(F.count("*").alias("df")).where((F.col("df") >= min_df) & (F.col("df") <= max_df * n.scalar())).select("term")
     return counts.join(kept, "term", "left_semi").select(key, "term", "tf")

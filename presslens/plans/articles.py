@@ -10,7 +10,7 @@ from presslens.operators import features as A
 from presslens.operators import scores as S
 from presslens.operators import topics as T
 from presslens.operators import vocabulary as V
-from presslens.session import norm_source, table
+from presslens.session import norm_source, spread, table
 from presslens.sources import io
 from presslens.storage import materialize, once
 
@@ -23,7 +23,7 @@ IGNORED = "consilier ministrul deputatul senatorul primarul premierul economistu
 def _articles(spark, sf_dir):
     """One row a url: the greatest of each column, topic shares as one array."""
     t = table(spark, sf_dir, TOPICS)
-    return io.one_row(t.select("url", norm_source(F.col("source_domain")).alias("source"), "maintext", "cleantext", "ner", "stance", F.array(*PROBS).alias("topic_probs"), "topic"))
+    return spread(io.one_row(t.select("url", norm_source(F.col("source_domain")).alias("source"), "maintext", "cleantext", "ner", "stance", F.array(*PROBS).alias("topic_probs"), "topic")))
 
 
 def _vectors(spark, sf_dir):
