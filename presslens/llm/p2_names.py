@@ -108,6 +108,11 @@ def allowed(a: str, b: str) -> int:
     return 0 if n < 4 else 1 if n < LONG else 2
 
 
+def replaced(a: str, b: str) -> bool:
+    """Whether two words differ by two replaced letters: most such family names are names of their own, while a slip swaps, drops or doubles letters."""
+    return len(a) == len(b) and sum(x != y for x, y in zip(a, b)) == 2 and edits(a, b, 2) == 2
+
+
 def deletions(t: str) -> list[str]:
     """The word without up to two of its letters (one, for words of middle length)."""
     if len(t) < 4:
@@ -379,7 +384,8 @@ def _verify_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         d = [edits(a, b, allowed(a, b)) if allowed(a, b) else 9 for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
         ok = [e <= allowed(a, b) for e, a, b in zip(d, batch.column(0).to_pylist(), batch.column(2).to_pylist())]
-        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32())], ["token", "support", "other", "other_support", "d"])
+        other_name = [replaced(a, b) for a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
+        out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(d, pa.int32()), pa.array(other_name, pa.bool_())], ["token", "support", "other", "other_support", "d", "replaced"])
         yield out.filter(pa.array(ok, pa.bool_()))
 
 
@@ -390,12 +396,12 @@ def names_of(ner: DataFrame, features: DataFrame) -> DataFrame:
 
 
 def token_neighbours(parsed: DataFrame) -> DataFrame:
-    """``(token, support, other, other_support, d)``: tokens within their allowed edits, by symmetric deletion."""
+    """``(token, support, other, other_support, d, replaced)``: tokens within their allowed edits, by symmetric deletion."""
     tokens = parsed.select("name", F.explode(F.array_distinct("tokens")).alias("token")).where("length(token) >= 4").groupBy("token").agg(F.count("*").alias("support"))
     keyed = tokens.mapInArrow(_delete_batches, "token string, support bigint, keys array<string>").select("token", "support", F.explode("keys").alias("key"))
     other = keyed.select(F.col("token").alias("other"), F.col("support").alias("other_support"), "key")
     pairs = keyed.join(other, "key").where("token <> other").select("token", "support", "other", "other_support").distinct()
-    return pairs.mapInArrow(_verify_batches, "token string, support bigint, other string, other_support bigint, d int")
+    return pairs.mapInArrow(_verify_batches, "token string, support bigint, other string, other_support bigint, d int, replaced boolean")
 
 
 def link_names(names: DataFrame) -> DataFrame:
@@ -403,8 +409,8 @@ def link_names(names: DataFrame) -> DataFrame:
     parsed = materialize(names.mapInArrow(_parse_batches, "name string, n bigint, tokens array<string>, dots array<boolean>, acronym string, short array<boolean>").where("size(tokens) > 0"), "p2-parsed")
     near = materialize(token_neighbours(parsed), "p2-tokens")
     # the rarer of two neighbours may be a typo of the other, either of two as frequent ones of the other; whether it is one the alignment tells,
-    # but at two edits it cannot, as most of these are family names of their own: there a token of one name only is taken for a typo
-    hubs = near.where("support <= other_support and (d <= 1 or support = 1)").select("token", F.col("other").alias("hub"), "other_support", (F.expr("support < other_support and support <= case when d > 1 then 1 else 2 end")).alias("rare"))
+    # but for two replaced letters it cannot, as most of these are family names of their own: there a token of one name only is taken for a typo
+    hubs = near.where("support <= other_support and (not replaced or support = 1)").select("token", F.col("other").alias("hub"), "other_support", (F.expr("support < other_support and support <= case when d > 1 then 1 else 2 end")).alias("rare"))
     support = parsed.select("name", F.inline(F.arrays_zip(F.col("tokens").alias("token"), "short")))
     counts = support.select("name", "token").distinct().groupBy("token").agg(F.count("*").alias("support"))
     best = hubs.groupBy("token").agg(F.max("other_support").alias("hub_support"), F.max(F.when(F.col("rare"), F.col("other_support"))).alias("rare_support"))

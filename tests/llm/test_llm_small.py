@@ -335,6 +335,17 @@ def test_p2_typos_of_several_names_and_ties(spark):
     assert sorted(got.values()) == sorted(sorted(v) for v in same)
 
 
+def test_p2_two_slips_in_several_spellings(spark):
+    """A family name with two slips is linked however many spellings it has; two replaced letters in several spellings make another name."""
+    given_name = [f"Anca {chr(97 + i)}{chr(98 + i)}{chr(99 + i)}olteanu" for i in range(0, 23, 2)]
+    same = [["Ion Constantinescu", "CONSTANTINESCU Ion", "Constantinescu, Ion", "Ion Cosntantniescu", "COSNTANTNIESCU Ion", "Cosntantniescu, Ion", "Ion Constantnesccu", "CONSTANTNESCCU Ion"], ["Anca Difasagescu", "DIFASAGESCU Anca", "dl. Anca Difasagescu"], ["Anca Didanagescu", "DIDANAGESCU Anca"]]
+    ner = spark.createDataFrame([(v,) for v in [*same, given_name]], "ner array<string>")
+    got = {}
+    for n, e in rows(p2_names.link_names(p2_names.names_of(ner, spark.createDataFrame([], "entity string"))), "name", "entity"):
+        got.setdefault(e, []).append(n)
+    assert sorted(got.values()) == sorted(sorted(v) for v in same)
+
+
 @given(st.text(alphabet="abcd", max_size=7), st.text(alphabet="abcd", max_size=7))
 def test_p2_symmetric_deletion_finds_all_edits(a, b):
     n = min(p2_names.allowed(a, b), p2_names.allowed(b, a))
