@@ -44,7 +44,7 @@ from presslens.llm import textvec as tv
 from presslens.llm.p3_lines import SHUFFLED, article_lines, line_bounds, line_keys, repeated_keys, repeated_lines
 from presslens.operators.graph import connected_components
 from presslens.session import norm_source, table
-from presslens.storage import materialize
+from presslens.storage import discard, materialize
 
 RUN = 3
 SHARE = 0.45
@@ -54,6 +54,7 @@ MOST = 16
 BROADCAST_KEYS = 500_000
 BUCKET_POSTINGS = 2_000_000
 SALTS = 16
+HOME, PART_PAIRS = 4096, 50_000
 
 _rng = np.random.default_rng(20240501)
 _A = _rng.integers(0, 2**63, PERMS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -329,16 +330,15 @@ def meet(postings: pa.Table) -> pa.Table:
     return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "n": np.concatenate(w).astype(np.int32)})
 
 
-def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(a, b, runs_a, runs_b) -> the pairs (a, b) that share enough runs of either."""
-    for batch in batches:
-        keep = np.zeros(len(batch), bool)
-        for i, (x, y) in enumerate(zip(batch.column(2), batch.column(3))):
-            x, y = np.frombuffer(x.as_buffer(), np.uint32), np.frombuffer(y.as_buffer(), np.uint32)
-            both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-            keep[i] = both >= SHARE * min(len(x), len(y)) and both > 0
-        keep = pa.array(keep)
-        yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], ["a", "b"])
+def overlaps(pairs: pa.Table, articles: pa.Table) -> pa.Table:
+    """(part, a, b) and the (part, id, runs) of all articles of these pairs -> the pairs (a, b) that share enough runs of either."""
+    runs = {i: np.frombuffer(x, np.uint32) for i, x in zip(articles.column("id").to_pylist(), articles.column("runs").to_pylist())}
+    keep = np.zeros(len(pairs), bool)
+    for i, (a, b) in enumerate(zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist())):
+        x, y = runs[a], runs[b]
+        both = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+        keep[i] = both >= SHARE * min(len(x), len(y)) and both > 0
+    return pairs.select(["a", "b"]).filter(pa.array(keep))
 
 
 def signatures(rows: DataFrame) -> DataFrame:
@@ -364,16 +364,22 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_KEYS else df
 
 
+def _homes(pairs: DataFrame, parts: int) -> DataFrame:
+    """``(part, a, b)``, a < b: a pair is checked in the part of b's least partner, where most of b's other partners are checked too; partners of more than ``HOME`` are spread."""
+    least = pairs.groupBy("b").agg(F.min("a").alias("least"))
+    sizes = least.groupBy("least").agg(F.count("*").alias("n"))
+    salt = F.pmod(F.xxhash64("b"), F.floor(F.col("n") / HOME) + 1)
+    home = least.join(sizes, "least").select("b", F.pmod(F.xxhash64("least", salt), F.lit(parts)).cast("int").alias("part"))
+    return pairs.join(home, "b").select("part", "a", "b")
+
+
 def _checked(signed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs ``(a, b)`` that share enough runs."""
-    used = materialize(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "p5-used")
-    runs = signed.select("id", "runs").join(_few(used), "id", "left_semi")
-    return (
-        pairs.join(runs.select(F.col("id").alias("a"), F.col("runs").alias("runs_a")), "a")
-        .join(runs.select(F.col("id").alias("b"), F.col("runs").alias("runs_b")), "b")
-        .select("a", "b", "runs_a", "runs_b")
-        .mapInArrow(overlaps, "a bigint, b bigint")
-    )
+    """The pairs ``(a, b)`` that share enough runs. The runs of an article are sent once to each part that needs them, not once for each pair."""
+    parts = max(signed.sparkSession.sparkContext.defaultParallelism * 2, pairs.count() // PART_PAIRS)
+    placed = materialize(_homes(pairs, parts), "p5-homes")
+    needed = materialize(placed.select("part", F.col("a").alias("id")).union(placed.select("part", "b")).distinct(), "p5-needed")
+    articles = signed.select("id", "runs").join(_few(needed), "id").select("part", "id", "runs")
+    return placed.groupBy("part").cogroup(articles.groupBy("part")).applyInArrow(overlaps, "a bigint, b bigint")
 
 
 def _large_groups(signed: DataFrame, met: DataFrame) -> DataFrame | None:
@@ -431,6 +437,7 @@ def near_groups(rows: DataFrame) -> DataFrame:
     if short is not None:
         pairs = pairs.union(short)
     pairs = materialize(pairs.distinct(), "p5-pairs")
+    discard(met)
     linked = _checked(signed, pairs)
     if large is not None:
         linked = materialize(linked, "p5-linked")

@@ -174,6 +174,19 @@ def test_p5_a_shared_passage_gives_a_common_anchor(seed, before, after):
     assert set(keys[row == 0].tolist()) & set(keys[row == 1].tolist())
 
 
+def test_p5_runs_are_sent_once_to_a_part(spark, monkeypatch):
+    """All pairs of a group are checked in one part, so its articles are sent once; a group of very many is spread. The pairs found are the same."""
+    ids = range(10)
+    signed = spark.createDataFrame([(i, np.arange(i % 2 * 50, i % 2 * 50 + 20 + i, dtype=np.uint32).tobytes()) for i in ids], "id bigint, runs binary")
+    pairs = spark.createDataFrame(list(itertools.combinations(ids, 2)), "a bigint, b bigint")
+    sent = lambda: len({(r["part"], x) for r in p5_near._homes(pairs, 64).collect() for x in (r["a"], r["b"])})
+    same = [(a, b) for a, b in itertools.combinations(ids, 2) if a % 2 == b % 2]
+    assert sent() == 10 and rows(p5_near._checked(signed, pairs), "a", "b") == same
+    monkeypatch.setattr(p5_near, "HOME", 2)
+    monkeypatch.setattr(p5_near, "PART_PAIRS", 1)
+    assert sent() > 10 and rows(p5_near._checked(signed, pairs), "a", "b") == same
+
+
 def test_p5_empty(spark):
     assert p5_near.near_groups(articles(spark, [("u", None, "s")])).count() == 0
 
