@@ -231,6 +231,14 @@ def test_p4_scores(spark):
     assert got[("y", "beta")][2] < 0 and p4_terms.distinctive_terms(df.limit(0)).count() == 0
 
 
+def test_p4_found_is_told_by_counts(spark, tmp_path, monkeypatch):
+    """No ratio is made that changes nothing; a source of most articles may avoid a term of which it has four fifths."""
+    monkeypatch.setattr(p4_terms, "log_likelihood", lambda *x: pytest.fail("the ratio has no effect on the terms found"))
+    data = [(f"u{i}", "alfa" if i < 4 else "beta", "x") for i in range(45)] + [("v", "alfa gama", "y"), *((f"w{i}", "gama", " ") for i in range(4))]
+    spark.createDataFrame(data, "url string, cleantext string, source_domain string").write.parquet(f"{tmp_path}/{p4_terms.TOPICS}.parquet")
+    assert rows(p4_terms.p4_found(spark, str(tmp_path)), "source_domain", "term") == [("x", "alfa"), ("x", "beta")]
+
+
 def test_p7_counts(spark):
     data = [(f"u{i}", [" A  b", "a b", "c"] if i < 3 else ["", None, "c"], "S" if i < 2 else None) for i in range(5)] + [("u0", [" A  b", "a b", "c"], None), ("n", None, "s"), ("z", [], "s"), (None, ["x"], "s")]
     df = spark.createDataFrame(data, "url string, all_ngrams array<string>, source_domain string").withColumn("id", F.lit(0)).withColumn("ngram", F.lit(0))
