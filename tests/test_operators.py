@@ -162,6 +162,26 @@ def test_embedder(spark):
     assert model.reconstruct().count() == len(rows(m.select("phrase").distinct(), "phrase")) * 6
 
 
+def test_embedder_solves_equal_rows_once(spark):
+    """Rows with the same counts are one row to solve, have the very same vector, and weigh as often as they occur."""
+    rng = np.random.default_rng(5)
+    kinds = np.unique(rng.poisson(1.5, (7, 5)) + np.eye(7, 5, dtype=int), axis=0)
+    own = [i % len(kinds) for i in range(200)]
+    m = spark.createDataFrame([(f"r{i}", f"d{j}", int(kinds[k][j])) for i, k in enumerate(own) for j in range(5) if kinds[k][j]], "phrase string, domain string, n bigint")
+    model = embed.PoissonEmbedder(rank=2).fit(m, max_iter=3)
+    sizes = [(len(np.frombuffer(r["size"], np.int32)), np.frombuffer(r["times"]).sum()) for r in model.blocks.collect()]
+    assert sum(a for a, _ in sizes) == len(kinds) and sum(b for _, b in sizes) == 200
+    found = {r[0]: r[1:] for r in model.phrases().collect()}
+    assert len(found) == 200 and all(len({found[f"r{i}"] for i in range(200) if own[i] == k}) == 1 for k in range(len(kinds)))
+    u = np.array([found[f"r{i}"] for i in range(200)])
+    loss, gu, gv, gw = embed.loss_and_gradients(kinds[own].astype(float), u, model.V, model.w)
+    assert np.abs(gu + 2 * model.l2 * u).max() < 1e-3
+    assert loss + model.l2 * ((u * u).sum() + (model.V**2).sum() + (model.w**2).sum()) == pytest.approx(model.losses[-1], rel=1e-9)
+    (_, v, w, _, _), _ = model._pass()
+    assert np.allclose(v, gv, rtol=1e-3, atol=0.05) and np.allclose(w, gw, rtol=1e-3, atol=0.05)
+    assert model._pass(model.losses[-1] / 2)[0][0] == np.inf
+
+
 def test_label_model_recovers_accuracies(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 3000)
