@@ -182,6 +182,20 @@ def test_embedder_solves_equal_rows_once(spark):
     assert model._pass(model.losses[-1] / 2)[0][0] == np.inf
 
 
+def test_domain_side_writes_and_joins_no_phrases(spark, monkeypatch):
+    """The domains' side and the singular values come from the distinct rows alone."""
+    m = spark.createDataFrame([(f"r{i}", f"d{j}", 1 + (i + j) % 3) for i in range(40) for j in range(4) if (i + j) % 5], "phrase string, domain string, n bigint")
+    model = embed.PoissonEmbedder(rank=2).fit(m, max_iter=2)
+    written = []
+    monkeypatch.setattr(embed, "materialize", lambda df, name: written.append(name) or df)
+    left, right, values = model.orthogonalize()
+    found = right.collect()
+    assert not written and len(found) == 4
+    u, s, v = (np.array([r[1:] for r in sorted(x.collect())]) for x in (left, values, right))
+    p, d = (np.array([r[1:] for r in sorted(x.collect())]) for x in (model.phrases(), model.domain_vectors()))
+    assert np.allclose(u * s[:, 0] @ v.T, p * model.w @ d.T, atol=1e-8)
+
+
 def test_label_model_recovers_accuracies(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 3000)
