@@ -6,15 +6,20 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _shares(matrix: DataFrame, row: str) -> DataFrame:
-    """Cells with the sums of their row, their domain and everything, as doubles.
+def _only(cells: DataFrame, row: str, only: DataFrame | None) -> DataFrame:
+    """All cells, or those of the rows in ``only``."""
+    return cells if only is None else cells.join(only.select(row), row, "left_semi")
+
+
+def _shares(matrix: DataFrame, row: str, only: DataFrame | None = None) -> DataFrame:
+    """Cells, of all rows or of those in ``only``, with the sums of their row, their domain and everything, as doubles.
 
     Row sums come from a window on the cells' own key; domain sums are one row a
     domain, joined. An empty matrix gives an empty result.
     """
     by_domain = matrix.groupBy("domain").agg(F.sum("n").cast("double").alias("col_sum"))
     everything = matrix.agg(F.sum("n").cast("double"))
-    cells = matrix.withColumn("row_sum", F.sum("n").over(Window.partitionBy(row)).cast("double"))
+    cells = _only(matrix, row, only).withColumn("row_sum", F.sum("n").over(Window.partitionBy(row)).cast("double"))
     return cells.join(by_domain, "domain").withColumn("all_sum", everything.scalar()).withColumn("n", F.col("n").cast("double"))
 
 
@@ -30,9 +35,9 @@ def require_nonzero(matrix: DataFrame) -> DataFrame:
     return matrix.where(F.when(total.scalar() > 0, F.lit(True)).otherwise(F.raise_error(F.lit("the matrix has no counts")).cast("boolean")))
 
 
-def mi(matrix: DataFrame, row: str = "phrase") -> DataFrame:
-    """``(row, mi)``: what each row adds to the mutual information; rows of zeros add nothing and score 0."""
-    s = _shares(matrix, row)
+def mi(matrix: DataFrame, row: str = "phrase", only: DataFrame | None = None) -> DataFrame:
+    """``(row, mi)``: what each row, or each in ``only``, adds to the mutual information; rows of zeros add nothing and score 0."""
+    s = _shares(matrix, row, only)
     p = F.col("n") / F.col("all_sum")
     part = F.when(F.col("n") > 0, p * F.log2(F.col("n") * F.col("all_sum") / (F.col("row_sum") * F.col("col_sum")))).otherwise(0.0)
     return s.groupBy(row).agg(F.sum(part).alias("mi"))
@@ -42,17 +47,17 @@ def total_mi(matrix: DataFrame, row: str = "phrase") -> DataFrame:
     return mi(matrix, row).agg(F.sum("mi").alias("total_mi"))
 
 
-def tf_idf(matrix: DataFrame, row: str = "phrase") -> DataFrame:
-    """``(row, domain, tfidf)`` with domains as documents: idf = ln((1 + N) / (1 + df)) + 1, unit length per domain."""
+def tf_idf(matrix: DataFrame, row: str = "phrase", only: DataFrame | None = None) -> DataFrame:
+    """``(row, domain, tfidf)``, of all rows or of those in ``only``, with domains as documents: idf = ln((1 + N) / (1 + df)) + 1, unit length per domain."""
     n_domains = matrix.select("domain").distinct().agg(F.count("*").cast("double"))
     df = F.count("*").over(Window.partitionBy(row))
     w = matrix.where("n > 0").withColumn("w", F.col("n") * (F.ln((1 + n_domains.scalar()) / (1 + df)) + 1))
     norms = w.groupBy("domain").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    return w.join(norms, "domain").select(row, "domain", (F.col("w") / F.col("norm")).alias("tfidf"))
+    return _only(w, row, only).join(norms, "domain").select(row, "domain", (F.col("w") / F.col("norm")).alias("tfidf"))
 
 
-def max_tf_idf(matrix: DataFrame, row: str = "phrase") -> DataFrame:
-    return tf_idf(matrix, row).groupBy(row).agg(F.max("tfidf").alias("max_tfidf"))
+def max_tf_idf(matrix: DataFrame, row: str = "phrase", only: DataFrame | None = None) -> DataFrame:
+    return tf_idf(matrix, row, only).groupBy(row).agg(F.max("tfidf").alias("max_tfidf"))
 
 
 def class_tf_idf(counts: DataFrame, group: str, term: str = "term", bm25: bool = True, reduce_frequent: bool = True) -> DataFrame:

@@ -119,7 +119,8 @@ def scatter_picture(spark, sf_dir):
 
 def _by_dim(spark, sf_dir, score, name, dim="bias_dim_0"):
     rows = A.require_columns(_fit(spark, sf_dir, "phrase").orthogonalize()[0], "phrase", dim)
-    top = rows.join(score(_pruned(spark, sf_dir)), "phrase").orderBy(F.desc(dim), "phrase").limit(500).orderBy(F.desc(name), "phrase").limit(100)
+    best = materialize(rows.select("phrase", dim).orderBy(F.desc(dim), "phrase").limit(500), "best-by-dim")  # every phrase has a score, so only these need theirs
+    top = best.join(score(_pruned(spark, sf_dir), only=best), "phrase").orderBy(F.desc(name), "phrase").limit(100)
     return top.orderBy(F.desc(name), "phrase").limit(10).select("phrase", dim, name)
 
 

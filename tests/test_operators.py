@@ -196,6 +196,15 @@ def test_domain_side_writes_and_joins_no_phrases(spark, monkeypatch):
     assert np.allclose(u * s[:, 0] @ v.T, p * model.w @ d.T, atol=1e-8)
 
 
+@pytest.mark.parametrize("score", ["mi", "max_tf_idf"])
+def test_scores_of_some_rows_are_those_among_all(spark, score):
+    m = spark.createDataFrame([(f"r{i}", f"d{j}", 1 + (i * j) % 4) for i in range(30) for j in range(4) if (i + j) % 3], "phrase string, domain string, n bigint")
+    some = spark.createDataFrame([("r3",), ("r17",)], "phrase string")
+    everything = dict(map(tuple, getattr(scores, score)(m).collect()))
+    found = dict(map(tuple, getattr(scores, score)(m, only=some).collect()))
+    assert found == pytest.approx({k: everything[k] for k in ("r3", "r17")})
+
+
 def test_label_model_recovers_accuracies(spark):
     rng = np.random.default_rng(3)
     y = rng.integers(0, 2, 3000)
